@@ -95,6 +95,31 @@ def attribute_rules(p: Policy) -> list[Rule]:
     ]
 
 
+def reputation_rules(p: Policy) -> list[Rule]:
+    """R5, R6."""
+    return [Rule("IP_FLAGGED", F.col("ip_flagged"), _text("IP_FLAGGED"), feedback=True),
+            Rule("DEVICE_FLAGGED", F.col("device_flagged"), _text("DEVICE_FLAGGED"), feedback=True)]
+
+
+def association_rules(p: Policy) -> list[Rule]:
+    """R15, R16."""
+    mask = F.col("kind_mask")
+    firm = (mask.bitwiseAND(STRONG_MASK) != 0) | (F.bit_count(mask) >= 2)
+    return [
+        Rule("LINKED_TO_BLOCKED_STRONG", F.col("cluster_has_blocked") & firm,
+             F.format_string(TEXTS["LINKED_TO_BLOCKED_STRONG"], kind_names(mask, " and ")),
+             feedback=True),
+        Rule("LINKED_TO_BLOCKED_WEAK", F.col("cluster_has_blocked") & ~firm,
+             F.format_string(TEXTS["LINKED_TO_BLOCKED_WEAK"],
+                             F.when(mask != 0, kind_names(mask)).otherwise(F.lit("connection"))),
+             feedback=True)]
+
+
+def feedback_rules(p: Policy) -> list[Rule]:
+    """The rules that read decisions of earlier attempts."""
+    return [*reputation_rules(p), *association_rules(p)]
+
+
 def rule_chain(p: Policy, extra: Iterable[Rule] = ()) -> list[Rule]:
     """All rules in the order in which reasons are listed."""
     v, spread, failed = (F.col(c) for c in ("velocity_ip_count", "velocity_account_spread",
@@ -123,21 +148,14 @@ def rule_chain(p: Policy, extra: Iterable[Rule] = ()) -> list[Rule]:
              _text("VELOCITY_ACCOUNT_SPREAD", spread, p.spread_seconds // 60)),
         Rule("VELOCITY_FAILED_LOGINS", failed >= p.failed_logins,
              _text("VELOCITY_FAILED_LOGINS", failed, p.failed_seconds // 60)),
-        Rule("IP_FLAGGED", F.col("ip_flagged"), _text("IP_FLAGGED"), feedback=True),
-        Rule("DEVICE_FLAGGED", F.col("device_flagged"), _text("DEVICE_FLAGGED"), feedback=True),
+        *reputation_rules(p),
         Rule("DEVICE_SHARED_HIGH", device >= p.device_identities, _text("DEVICE_SHARED_HIGH", device)),
         *attribute_rules(p),
         cluster("CROSS_RECORD_CLUSTER_LARGE", large, F.lit(LARGE_VERDICT)),
         cluster("CROSS_RECORD_CLUSTER_MEDIUM", ~large & medium,
                 F.when(strong, F.lit(STRONG_VERDICT)).otherwise(F.lit(PAIR_VERDICT))),
         cluster("CROSS_RECORD_CLUSTER_SMALL", ~medium, F.lit(SMALL_VERDICT)),
-        Rule("LINKED_TO_BLOCKED_STRONG", F.col("cluster_has_blocked") & medium,
-             F.format_string(TEXTS["LINKED_TO_BLOCKED_STRONG"], kind_names(mask, " and ")),
-             feedback=True),
-        Rule("LINKED_TO_BLOCKED_WEAK", F.col("cluster_has_blocked") & ~medium,
-             F.format_string(TEXTS["LINKED_TO_BLOCKED_WEAK"],
-                             F.when(kinds > 0, names).otherwise(F.lit("connection"))),
-             feedback=True),
+        *association_rules(p),
         Rule("DOCUMENT_ELA_ANOMALY", has & (ela >= p.anomaly_threshold),
              _text("DOCUMENT_ELA_ANOMALY", ela, float(p.anomaly_threshold))),
         Rule("DOCUMENT_METADATA_EDITOR", has & (F.size(editor) > 0), F.try_element_at(editor, F.lit(1))),

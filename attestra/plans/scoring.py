@@ -156,7 +156,7 @@ def with_feedback(rows: DataFrame, base: Base, blocks: DataFrame | None, skew: S
 
 def _scores(d: DataFrame, policy: Policy, model) -> DataFrame:
     """Points, probability, score and decision of rows that carry their feedback columns."""
-    back = [r for r in rules.rule_chain(policy) if r.feedback]
+    back = rules.feedback_rules(policy)
     d = d.withColumn("rule_points", (F.col("free_points") + rules.points(back, policy)).cast("int")) \
          .withColumn("_floor", F.greatest("free_floor", rules.floor(back, policy)))
     if model is None:
