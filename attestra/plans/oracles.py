@@ -195,7 +195,7 @@ reu AS (SELECT a.seq, count(f.s) AS reuse, count(f.s) FILTER (f.identity <> a.id
   FROM att a LEFT JOIN dfs f ON f.doc = a.doc AND f.s < a.seq GROUP BY a.seq),
 base AS MATERIALIZED (SELECT att.*, v, spread, failed, devs, reuse, others, other_names, size, coalesce(kinds, 0) AS kinds,
     coalesce(strong, 0) AS strong, names,
-    date_part('year', age(CAST(ts AS DATE), dob)) AS age,
+    date_part('year', ts) - date_part('year', dob) - CASE WHEN strftime(ts, '%m%d') < strftime(dob, '%m%d') THEN 1 ELSE 0 END AS age,
     CASE WHEN address LIKE '%UAE' THEN 'UAE' WHEN address LIKE '%India' THEN 'India' END AS country
   FROM att JOIN sz USING (seq) LEFT JOIN mk USING (seq) JOIN vel USING (seq) JOIN spr USING (seq) JOIN fal USING (seq)
   JOIN dev USING (seq) JOIN reu USING (seq))"""
