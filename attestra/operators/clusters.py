@@ -129,12 +129,13 @@ def _split(events: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def replay_clusters(rows: DataFrame, links: DataFrame, comps: DataFrame,
-                    skew: Skew = Skew()) -> DataFrame:
+                    skew: Skew = Skew(), at_most: int | None = None) -> DataFrame:
     """(seq, cluster_size, kind_mask, linked_blocked) of the attempts of linked identities.
 
     ``rows`` has ``seq``, ``vid`` and ``blocked`` (did this attempt end in BLOCK); ``comps`` maps the
     linked ``vid`` to its ``component``. Identities without links are not in the result; their
-    cluster is themselves.
+    cluster is themselves. ``at_most`` is a known bound on rows and links together; if that fits one
+    piece there is nothing to cut and nothing to look up first.
     """
     c = comps.select(F.col("vid").alias("_v"), F.col("component").alias("comp"))
     one = F.lit(1).cast("long")
@@ -145,8 +146,11 @@ def replay_clusters(rows: DataFrame, links: DataFrame, comps: DataFrame,
     joins = links.join(c, F.col("vid") == F.col("_v")).select(
         "comp", one.alias("rng"), "seq", F.lit(1).alias("t"), F.col("vid").alias("a"),
         F.col("anchor").alias("b"), F.col("bit").cast("long").alias("x"), zero.alias("y"))
-    events = durable(attempts.unionByName(joins), "events")
-    total = events.count()
+    events = attempts.unionByName(joins)
+    total = at_most
+    if at_most is None or at_most > skew.cluster_rows:
+        events = durable(events, "events")
+        total = events.count()
     if total > skew.cluster_rows:
         while True:
             sizes = (events.filter("t > 0").groupBy("comp", "rng")

@@ -35,6 +35,12 @@ class Base:
     rows: DataFrame
     links: DataFrame | None
     comps: DataFrame | None
+    total: int = 0
+
+    @property
+    def most_events(self) -> int:
+        """Bound on cluster events: a row, and a link for each of the four clustering kinds."""
+        return 5 * self.total
 
 
 def ordered(attempts: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def temporal_features(log: DataFrame, policy: Policy, skew: Skew, total: int | N
     return temporal.document_history(d, hot=hot["document_hash"], skew=skew)
 
 
-def cluster_features(log: DataFrame, skew: Skew) -> tuple[DataFrame | None, DataFrame | None,
+def cluster_features(log: DataFrame, skew: Skew, total: int) -> tuple[DataFrame | None, DataFrame | None,
                                                           DataFrame | None]:
     """As-of size and kinds of the attempts of linked identities, links, components."""
     edges = durable(graph.identity_edges(log), "edges")
@@ -71,7 +77,7 @@ def cluster_features(log: DataFrame, skew: Skew) -> tuple[DataFrame | None, Data
     rows = log.select("seq", F.col("claimed_user_ref").alias("identity")) \
               .join(comps.select("identity", "vid"), "identity") \
               .select("seq", "vid", F.lit(False).alias("blocked"))
-    asof = clusters.replay_clusters(rows, links, comps, skew).select(
+    asof = clusters.replay_clusters(rows, links, comps, skew, 5 * total).select(
         "seq", "cluster_size", "kind_mask")
     return asof, links, comps
 
@@ -82,7 +88,7 @@ def base_features(log: DataFrame, policy: Policy = Policy(), skew: Skew = Skew()
     features = temporal_features(log, policy, skew, total).select(
         "seq", "velocity_ip_count", "velocity_account_spread", "failed_login_count",
         "device_identity_count", "document_reuse_count", "document_other_count")
-    asof, links, comps = cluster_features(log, skew)
+    asof, links, comps = cluster_features(log, skew, total)
     d = log.join(features, "seq")
     if asof is None:
         d = d.withColumns({"cluster_size": F.lit(None).cast("long"), "kind_mask": F.lit(0)}) \
@@ -116,7 +122,7 @@ def base_features(log: DataFrame, policy: Policy = Policy(), skew: Skew = Skew()
     free = [r for r in rules.rule_chain(policy, extra_rules) if not r.feedback]
     d = d.withColumn("free_points", rules.points(free, policy)) \
          .withColumn("free_floor", rules.floor(free, policy))
-    return Base(durable(d, "base"), links, comps)
+    return Base(durable(d, "base"), links, comps, total)
 
 
 def _model_features(d: DataFrame) -> DataFrame:
@@ -137,7 +143,8 @@ def linked_to_blocked(base: Base, blocks: DataFrame, skew: Skew) -> DataFrame |
         .join(blocks.select("seq", F.lit(True).alias("blocked")), "seq", "left") \
         .select("seq", "vid", F.coalesce("blocked", F.lit(False)).alias("blocked"))
     links = base.links.join(comps.select("vid"), "vid", "left_semi")
-    return clusters.replay_clusters(rows, links, comps, skew).filter("linked_blocked").select("seq")
+    return clusters.replay_clusters(rows, links, comps, skew, base.most_events) \
+        .filter("linked_blocked").select("seq")
 
 
 def with_feedback(rows: DataFrame, base: Base, blocks: DataFrame | None, skew: Skew) -> DataFrame:
