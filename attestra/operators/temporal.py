@@ -29,21 +29,25 @@ def trailing_count(df: DataFrame, key: str, seconds: int, out: str, where: Colum
                    hot="find", skew: Skew = Skew()) -> DataFrame:
     """Earlier rows of the same key with ``sec - seconds <= t <= sec``.
 
-    Rows of earlier seconds are a range frame. Rows of the same second count when they stand
-    earlier in the total order, so ties are exact. Zero where key or second is missing.
+    That is all earlier rows in the total order less those older than the window, so ties inside a
+    second are exact. Both are running sums over one sort by (key, sec, seq). Zero where key or second
+    is missing.
     """
     hot = _hot(df, key, hot, skew)
     missing = F.col(key).isNull() | F.col("sec").isNull()
     d = slotted(df, key, hot, skew, missing)
     d = d.withColumn("_f", F.lit(1) if where is None
                      else F.when(where, F.lit(1)).otherwise(F.lit(0)))
-    peers = _zero(F.sum("_f").over(
-        W.partitionBy(key, "_slot", "sec").orderBy("seq").rowsBetween(*_PAST)))
-    earlier = _zero(F.sum("_f").over(
-        W.partitionBy(key, "_slot").orderBy("sec").rangeBetween(-seconds, -1)))
+    group = W.partitionBy(key, "_slot")
+    # Two steps on purpose: the finer order is sorted for first and serves the coarser one as well.
+    d = d.withColumn("_before", _zero(F.sum("_f").over(group.orderBy("sec", "seq").rowsBetween(*_PAST))))
+    d = d.withColumn("_older", _zero(F.sum("_f").over(
+        group.orderBy("sec").rangeBetween(W.unboundedPreceding, -seconds - 1))))
     if hot is None:
-        d = d.withColumn(out, peers + earlier)
+        d = d.withColumn(out, F.col("_before") - F.col("_older"))
     else:
+        peers = _zero(F.sum("_f").over(
+            W.partitionBy(key, "_slot", "sec").orderBy("seq").rowsBetween(*_PAST)))
         per_block = (d.filter(F.col("_hot") & ~missing).groupBy(key, "sec", "_slot")
                      .agg(F.sum("_f").alias("_n")))
         carry = per_block.select(
@@ -51,13 +55,12 @@ def trailing_count(df: DataFrame, key: str, seconds: int, out: str, where: Colum
             (_zero(F.sum("_n").over(W.partitionBy(key).orderBy("sec").rangeBetween(-seconds, -1)))
              + _zero(F.sum("_n").over(
                  W.partitionBy(key, "sec").orderBy("_slot").rowsBetween(*_PAST)))).alias("_carry"))
-        d = (d.withColumn("_p", peers).withColumn("_e", earlier)
-             .join(carry, [key, "sec", "_slot"], "left")
-             .withColumn(out, F.col("_p") + F.when(F.col("_hot"), _zero(F.col("_carry")))
-                         .otherwise(F.col("_e")))
-             .drop("_p", "_e", "_carry"))
+        d = (d.withColumn("_p", peers).join(carry, [key, "sec", "_slot"], "left")
+             .withColumn(out, F.when(F.col("_hot"), F.col("_p") + _zero(F.col("_carry")))
+                         .otherwise(F.col("_before") - F.col("_older")))
+             .drop("_p", "_carry"))
     return d.withColumn(out, F.when(missing, F.lit(0)).otherwise(F.col(out)).cast("long")) \
-            .drop("_hot", "_slot", "_f")
+            .drop("_hot", "_slot", "_f", "_before", "_older")
 
 
 def velocity_count(df: DataFrame, key: str = "ip_address", seconds: int = 60,
@@ -146,15 +149,15 @@ def distinct_so_far(df: DataFrame, key: str, member: str, out: str, inclusive: b
     d = d.withColumn("_first", F.when(real & (rank == 1), 1).otherwise(0))
     if hot is not None:
         firsts = (df.join(F.broadcast(hot), key, "left_semi").filter(real).groupBy(key, member)
-                  .agg(F.min("seq").alias("seq")).select("seq", F.lit(1).alias("_global")))
-        d = d.join(firsts, "seq", "left").withColumn(
+                  .agg(F.min("seq").alias("seq")).select(key, "seq"))
+        d = d.join(firsts.select("seq", F.lit(1).alias("_global")), "seq", "left").withColumn(
             "_first", F.when(F.col("_hot"), F.coalesce("_global", F.lit(0)))
             .otherwise(F.col("_first"))).drop("_global")
     frame = (W.unboundedPreceding, 0 if inclusive else -1)
     d = d.withColumn(out, _zero(F.sum("_first").over(
         W.partitionBy(key, "_slot").orderBy("seq").rowsBetween(*frame))))
     if hot is not None:
-        carry = firsts.join(df.select("seq", key), "seq").groupBy(
+        carry = firsts.groupBy(
             key, F.floor(F.col("seq") / skew.block_rows).cast("long").alias("_slot")).count()
         slots = d.filter("_hot").groupBy(key, "_slot").count().select(key, "_slot")
         carry = slots.join(carry, [key, "_slot"], "left").select(

@@ -258,7 +258,7 @@ SQL["score_with_feedback"] = f"""{_ALL} SELECT record_id, seq, CAST(pts AS BIGIN
 SQL["stream_score"] = f"""{_ALL} SELECT record_id, CAST(pts AS BIGINT) AS rule_points, CAST(score AS BIGINT) AS risk_score,
   decision FROM {_LAST}"""
 SQL["rescore_changes"] = f"""{_ALL} SELECT count(*) AS attempts, count(*) FILTER (decision = 'BLOCK') AS blocked,
-  CAST(0 AS BIGINT) AS changed FROM {_LAST}"""
+  count(*) FILTER (decision <> 'ALLOW') AS changed FROM {_LAST}"""
 SQL["feature_vector"] = f"""{_ALL} SELECT record_id, CAST(v AS DOUBLE) AS velocity_ip_count,
   CAST(spread AS DOUBLE) AS velocity_account_spread, CAST(failed AS DOUBLE) AS failed_login_count,
   CAST(ipf AS DOUBLE) AS ip_flagged, CAST(devs AS DOUBLE) AS device_identity_count, CAST(devf AS DOUBLE) AS device_flagged,

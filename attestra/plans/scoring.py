@@ -161,7 +161,7 @@ def with_feedback(rows: DataFrame, base: Base, blocks: DataFrame | None, skew: S
         "cluster_has_blocked", F.coalesce("cluster_has_blocked", F.lit(False)))
 
 
-def _scores(d: DataFrame, policy: Policy, model) -> DataFrame:
+def scores(d: DataFrame, policy: Policy, model) -> DataFrame:
     """Points, probability, score and decision of rows that carry their feedback columns."""
     back = rules.feedback_rules(policy)
     d = d.withColumn("rule_points", (F.col("free_points") + rules.points(back, policy)).cast("int")) \
@@ -191,7 +191,7 @@ def _blocks(base: Base, prior: DataFrame | None, policy: Policy, model, skew: Sk
                                "document_reuse_count", "ela_score", "metadata_flag", "liveness_failed",
                                "credential_failed", "has_forensics")]
     d = with_feedback(base.rows.select(*wanted), base, prior, skew)
-    return durable(_scores(d, policy, model).filter(F.col("decision") == BLOCK).select(
+    return durable(scores(d, policy, model).filter(F.col("decision") == BLOCK).select(
         "seq", "ip_address", "device_id", "vid", "component", "decision"), "blocks")
 
 
@@ -217,7 +217,7 @@ def score_ordered(log: DataFrame, policy: Policy = Policy(), model=None, skew: S
         raise ValueError("added rules must not read earlier decisions")
     base = base_features(log, policy, skew, extra_rules)
     blocks, _ = fixpoint(base, policy, model, skew)
-    d = _scores(with_feedback(base.rows, base, blocks, skew), policy, model)
+    d = scores(with_feedback(base.rows, base, blocks, skew), policy, model)
     reused = d.filter("has_forensics AND document_other_count > 0").select(
         "seq", "document_hash", "claimed_user_ref")
     named = temporal.document_other_names(reused, temporal.first_presenters(
