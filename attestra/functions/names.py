@@ -36,3 +36,14 @@ def with_name_similarity(df: DataFrame, a: str = "document_name", b: str = "full
     both = (F.col("_a") != "") & (F.col("_b") != "")
     return d.withColumn(out, F.when(both & (F.col("_a") == F.col("_b")), F.lit(1.0))
                         .when(both, F.col("_sim"))).select(*df.columns, out)
+
+
+def name_mismatches(df: DataFrame, below: float, a: str = "document_name", b: str = "full_name") -> DataFrame:
+    """(seq, name_similarity) of the rows whose names are less similar than ``below``.
+
+    Narrow rows only: the join on the names never moves the other columns of an attempt.
+    """
+    d = df.select("seq", F.lower(a).alias("_a"), F.lower(b).alias("_b")).filter(
+        "_a <> '' AND _b <> '' AND _a <> _b")
+    low = name_pairs(df, a, b).filter(F.col("_sim") < below)
+    return d.join(low, ["_a", "_b"]).select("seq", F.col("_sim").alias("name_similarity"))

@@ -21,7 +21,7 @@ _EVENTS = "comp long, rng long, seq long, t int, a long, b long, x long, y long"
 # meaning of the columns   state: a=node b=size x=lowest blocked y=highest blocked, seq=kind mask
 #                          link:  a, b = nodes, x = kind bit
 #                          attempt: a = node, b = identity, x = 1 if it ended in BLOCK
-_ANSWER = "seq long, cluster_size long, kind_mask int, linked_blocked boolean"
+_ANSWER = "seq long, vid long, component long, cluster_size long, kind_mask int, linked_blocked boolean"
 
 
 def _replay(events: pd.DataFrame) -> pd.DataFrame:
@@ -47,8 +47,7 @@ def _replay(events: pd.DataFrame) -> pd.DataFrame:
             low[n], high[n] = lo, hi
     flow = events[events["t"] > 0].sort_values(["seq", "t"], kind="stable")
     out = []
-    for seq, t, a, b, x in zip(flow["seq"].tolist(), flow["t"].tolist(), flow["a"].tolist(),
-                               flow["b"].tolist(), flow["x"].tolist()):
+    for comp, seq, t, a, b, x in zip(*(flow[c].tolist() for c in ("comp", "seq", "t", "a", "b", "x"))):
         r = find(a)
         if t == 1:
             q = find(b)
@@ -64,12 +63,12 @@ def _replay(events: pd.DataFrame) -> pd.DataFrame:
             mask[r] = mask.get(r, 0) | x
         else:
             blocked = r in high and (low[r] != b or high[r] != b)
-            out.append((seq, size.get(r, 1), mask.get(r, 0), blocked))
+            out.append((seq, b, comp, size.get(r, 1), mask.get(r, 0), blocked))
             if x:
                 low[r], high[r] = min(low.get(r, b), b), max(high.get(r, b), b)
-    return pd.DataFrame(out, columns=["seq", "cluster_size", "kind_mask", "linked_blocked"]) \
-             .astype({"seq": "int64", "cluster_size": "int64", "kind_mask": "int32",
-                      "linked_blocked": "bool"})
+    names = ["seq", "vid", "component", "cluster_size", "kind_mask", "linked_blocked"]
+    return pd.DataFrame(out, columns=names).astype(
+        dict(zip(names, ("int64", "int64", "int64", "int64", "int32", "bool"))))
 
 
 def _split(events: DataFrame, cut: DataFrame) -> DataFrame:
@@ -130,7 +129,8 @@ def _split(events: DataFrame, cut: DataFrame) -> DataFrame:
 
 def replay_clusters(rows: DataFrame, links: DataFrame, comps: DataFrame,
                     skew: Skew = Skew(), at_most: int | None = None) -> DataFrame:
-    """(seq, cluster_size, kind_mask, linked_blocked) of the attempts of linked identities.
+    """(seq, vid, component, cluster_size, kind_mask, linked_blocked) of the attempts of linked
+    identities.
 
     ``rows`` has ``seq``, ``vid`` and ``blocked`` (did this attempt end in BLOCK); ``comps`` maps the
     linked ``vid`` to its ``component``. Identities without links are not in the result; their

@@ -17,10 +17,10 @@ from attestra.schema import KIND_BITS, LINK_KINDS, STRONG_KINDS, UNCLUSTERED_KIN
 from attestra.session import durable
 
 
-def identity_edges(attempts: DataFrame) -> DataFrame:
+def identity_edges(attempts: DataFrame, kinds: Iterable[str] = LINK_KINDS) -> DataFrame:
     """G1: distinct (identity, kind, value) with the first attempt that showed it."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value"))
-                      for k in LINK_KINDS])
+                      for k in kinds])
     return (attempts.filter("claimed_user_ref IS NOT NULL AND claimed_user_ref <> ''")
             .select(F.col("claimed_user_ref").alias("identity"), "seq",
                     F.explode(pairs).alias("e"))
@@ -35,6 +35,14 @@ def identities(attempts: DataFrame) -> DataFrame:
             .groupBy(F.col("claimed_user_ref").alias("identity")).agg(F.min("seq").alias("vid")))
 
 
+def edge_holders(edges: DataFrame) -> DataFrame:
+    """Like :func:`identities`, but only those with edges and without another pass over the attempts.
+
+    The vertex id is the identity's first attempt with an edge, which is just as unique.
+    """
+    return edges.groupBy("identity").agg(F.min("first_seq").alias("vid"))
+
+
 def identity_links(edges: DataFrame, vertices: DataFrame,
                    exclude: Iterable[str] = UNCLUSTERED_KINDS) -> DataFrame:
     """Links (vid, anchor, seq, bit): this identity joined an attribute ``anchor`` already held.

@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.functions.names import name_pairs, with_name_similarity
+from attestra.functions.names import name_mismatches
 from attestra.functions.text import address_country, age_at
 from attestra.operators import clusters, graph, model as ml, rules, score, temporal
 from attestra.operators.ordering import chronological
 from attestra.operators.skew import hot_values
 from attestra.policy import BLOCK, Policy, Skew
-from attestra.schema import ATTEMPT, conform
+from attestra.schema import ATTEMPT, KIND_BITS, conform
 from attestra.session import durable
 
 KEYS = ("ip_address", "claimed_user_ref", "device_id", "document_hash")
@@ -66,8 +66,8 @@ def temporal_features(log: DataFrame, policy: Policy, skew: Skew, total: int | N
 def cluster_features(log: DataFrame, skew: Skew, total: int) -> tuple[DataFrame | None, DataFrame | None,
                                                           DataFrame | None]:
     """As-of size and kinds of the attempts of linked identities, links, components."""
-    edges = durable(graph.identity_edges(log), "edges")
-    vertices = graph.identities(log)
+    edges = durable(graph.identity_edges(log, KIND_BITS), "edges")
+    vertices = durable(graph.edge_holders(edges), "vertices")
     links = durable(graph.identity_links(edges, vertices), "links")
     if links.isEmpty():
         return None, None, None
@@ -77,8 +77,7 @@ def cluster_features(log: DataFrame, skew: Skew, total: int) -> tuple[DataFrame
     rows = log.select("seq", F.col("claimed_user_ref").alias("identity")) \
               .join(comps.select("identity", "vid"), "identity") \
               .select("seq", "vid", F.lit(False).alias("blocked"))
-    asof = clusters.replay_clusters(rows, links, comps, skew, 5 * total).select(
-        "seq", "cluster_size", "kind_mask")
+    asof = clusters.replay_clusters(rows, links, comps, skew, 5 * total).drop("linked_blocked")
     return asof, links, comps
 
 
@@ -89,14 +88,14 @@ def base_features(log: DataFrame, policy: Policy = Policy(), skew: Skew = Skew()
         "seq", "velocity_ip_count", "velocity_account_spread", "failed_login_count",
         "device_identity_count", "document_reuse_count", "document_other_count")
     asof, links, comps = cluster_features(log, skew, total)
+    # All sides are narrow and keyed by seq: the wide rows move once.
     d = log.join(features, "seq")
     if asof is None:
-        d = d.withColumns({"cluster_size": F.lit(None).cast("long"), "kind_mask": F.lit(0)}) \
-             .withColumn("vid", F.lit(None).cast("long")).withColumn("component", F.lit(None).cast("long"))
+        d = d.withColumns({c: F.lit(None).cast("long") for c in ("vid", "component", "cluster_size")}) \
+             .withColumn("kind_mask", F.lit(0))
     else:
-        members = comps.select(F.col("identity").alias("claimed_user_ref"), "vid", "component")
-        d = d.join(asof, "seq", "left").join(members, "claimed_user_ref", "left")
-    d = with_name_similarity(d, pairs=name_pairs(log, "document_name", "full_name"))
+        d = d.join(asof, "seq", "left")
+    d = d.join(name_mismatches(log, policy.name_similarity), "seq", "left")
     has_id = F.col("claimed_user_ref").isNotNull()
     d = d.withColumns({
         "cluster_identity_count": F.when(has_id, F.coalesce("cluster_size", F.lit(1)))
@@ -217,7 +216,12 @@ def score_ordered(log: DataFrame, policy: Policy = Policy(), model=None, skew: S
         raise ValueError("added rules must not read earlier decisions")
     base = base_features(log, policy, skew, extra_rules)
     blocks, _ = fixpoint(base, policy, model, skew)
-    d = scores(with_feedback(base.rows, base, blocks, skew), policy, model)
+    if blocks is None:
+        d = with_feedback(base.rows, base, None, skew)
+    else:
+        flags = with_feedback(base.rows.select("seq", "ip_address", "device_id"), base, blocks, skew)
+        d = base.rows.join(flags.drop("ip_address", "device_id"), "seq")
+    d = scores(d, policy, model)
     reused = d.filter("has_forensics AND document_other_count > 0").select(
         "seq", "document_hash", "claimed_user_ref")
     named = temporal.document_other_names(reused, temporal.first_presenters(
