@@ -33,6 +33,11 @@ def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+def _or_minus(c):
+    """-1 for NULL, so that integer columns stay integers in every client."""
+    return F.coalesce(c, F.lit(-1)).cast("long")
+
+
 # ---- as-of operators ------------------------------------------------------------------------------
 
 @query
@@ -134,7 +139,7 @@ def reputation_table(spark, d):
 @query
 def campaign_detection(spark, d):
     return temporal.campaign_detection(ad.campaigns_from_conversations(spark, d)).select(
-        "campaign_id", F.col("detected").cast("long").alias("detected"), *_long("position"),
+        "campaign_id", F.col("detected").cast("long").alias("detected"), _or_minus(F.col("position")).alias("position"),
         F.round("seconds", 3).alias("seconds"))
 
 
@@ -611,9 +616,9 @@ def _normal(df):
 
 
 def _canonical(a):
-    return a.select("record_id", "claimed_user_ref", *_long("sec"), "stage", "login_status", "document_hash",
+    return a.select("record_id", "claimed_user_ref", _or_minus(F.col("sec")).alias("sec"), "stage", "login_status", "document_hash",
                     F.round("ela_score", 2).alias("ela_score"), "document_status", "label_category",
-                    F.col("label_is_fraud").cast("long").alias("label_is_fraud"), "error", "attempt_ref")
+                    _or_minus(F.col("label_is_fraud").cast("long")).alias("label_is_fraud"), "error", "attempt_ref")
 
 
 @query
@@ -668,7 +673,7 @@ def parse_timestamp(spark, d):
         WHEN 3 THEN date_format(t, 'yyyy-MM-dd') WHEN 4 THEN CAST(unix_timestamp(t) AS STRING)
         WHEN 5 THEN CAST(unix_millis(t) AS STRING) WHEN 6 THEN date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+04:00'")
         WHEN 7 THEN date_format(t, 'HH:mm') ELSE concat(date_format(t, 'yyyy-MM-dd'), ' 25:00:00') END AS raw""")
-    return e.select("event_id", F.unix_timestamp(clean.parse_timestamp(F.col("raw"))).alias("sec"))
+    return e.select("event_id", _or_minus(F.unix_timestamp(clean.parse_timestamp(F.col("raw")))).alias("sec"))
 
 
 @query
@@ -680,7 +685,7 @@ def normalize_status(spark, d):
     c, lab = F.col("raw"), clean.interpret_label(F.col("raw"))
     return e.select("event_id", clean.nullify(c).alias("text"), F.round(clean.to_double(c), 2).alias("number"),
                     clean.status_from_bool(clean.to_bool(c)).alias("status"),
-                    lab["category"].alias("category"), lab["is_fraud"].cast("long").alias("is_fraud"))
+                    lab["category"].alias("category"), _or_minus(lab["is_fraud"].cast("long")).alias("is_fraud"))
 
 
 @query
@@ -719,7 +724,7 @@ def age_and_residence(spark, d):
         "CASE c_custkey % 6 WHEN 0 THEN 'Villa 3, uae' WHEN 1 THEN 'Ukraine st' WHEN 2 THEN 'India House, UK' "
         "WHEN 3 THEN 'Cairo Egypt' ELSE c_mktsegment END AS address",
         "timestamp_seconds(1777593600 + c_custkey * 86400) AS ts")
-    return c.select("c_custkey", text.age_at(F.col("dob"), F.col("ts")).cast("long").alias("age"),
+    return c.select("c_custkey", _or_minus(text.age_at(F.col("dob"), F.col("ts"))).alias("age"),
                     text.address_country(F.col("address")).alias("country"))
 
 
@@ -728,7 +733,7 @@ def phash_distance(spark, d):
     p = ad.table(spark, d, "documents").selectExpr(
         "doc_id", "substr(sha2(text, 256), 1, 16) AS a",
         "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE substr(sha2(lang, 256), 1, 16) END AS b")
-    return p.select("doc_id", text.phash_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
+    return p.select("doc_id", _or_minus(text.phash_distance(F.col("a"), F.col("b"))).alias("distance"))
 
 
 @query

@@ -110,7 +110,7 @@ SQL["reputation_table"] = f"""WITH {BLOCKS} SELECT device AS device_id, min(seq)
 SQL["campaign_detection"] = """WITH r AS (SELECT conv_id, role, turn, 1700000000 + turn * 30 AS t,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
 h AS (SELECT conv_id, min(pos) AS p FROM r WHERE role = 'assistant' GROUP BY conv_id)
-SELECT c.conv_id AS campaign_id, CAST(h.p IS NOT NULL AS BIGINT) AS detected, h.p AS position,
+SELECT c.conv_id AS campaign_id, CAST(h.p IS NOT NULL AS BIGINT) AS detected, coalesce(h.p, -1) AS position,
   CAST(x.t - c.t AS DOUBLE) AS seconds FROM r c LEFT JOIN h USING (conv_id)
   LEFT JOIN r x ON x.conv_id = c.conv_id AND x.pos = h.p WHERE c.pos = 1"""
 
@@ -463,7 +463,7 @@ can AS (SELECT record_id,
   CASE WHEN record_id % 6 = 5 THEN 'ONBOARDING' ELSE 'LOGIN' END AS stage,
   CASE WHEN record_id % 9 = 0 THEN 'PHASH-ff' || c END AS doc, CASE WHEN record_id % 7 <> 0 THEN round(price, 2) END AS ela,
   CASE record_id % 3 WHEN 0 THEN upper(pri) WHEN 1 THEN 'LEGITIMATE' ELSE 'FRAUD' END AS category FROM raw),
-canon AS (SELECT record_id, ref AS claimed_user_ref, sec, stage, login AS login_status, doc AS document_hash, ela AS ela_score,
+canon AS (SELECT record_id, ref AS claimed_user_ref, coalesce(sec, -1) AS sec, stage, login AS login_status, doc AS document_hash, ela AS ela_score,
   CASE WHEN doc IS NULL AND ela IS NULL THEN 'NOT_SUBMITTED' ELSE 'PASS' END AS document_status, category AS label_category,
   CAST(category <> 'LEGITIMATE' AS BIGINT) AS label_is_fraud,
   CASE WHEN ref IS NULL THEN 'missing identity/account identifier' END AS error,
@@ -471,21 +471,21 @@ canon AS (SELECT record_id, ref AS claimed_user_ref, sec, stage, login AS login_
 SQL["normalize_records_query"] = f"WITH {CANON} SELECT * FROM canon"
 SQL["read_csv"] = f"WITH {CANON} SELECT * FROM canon"
 SQL["read_jsonl"] = f"""WITH {CANON} SELECT record_id, CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN NULL ELSE claimed_user_ref END AS claimed_user_ref,
-  CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN NULL ELSE sec END AS sec,
+  CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN -1 ELSE sec END AS sec,
   CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN NULL ELSE label_category END AS label_category,
   CASE WHEN record_id % 20 = 3 THEN 'line is not valid JSON' WHEN record_id % 30 = 4 THEN 'record is not an object/row of fields'
     ELSE error END AS error FROM canon"""
 SQL["read_json"] = f"""WITH {CANON}, j AS (SELECT *, CASE WHEN record_id % 50 = 0 THEN NULL ELSE (SELECT 'C' || c FROM raw WHERE raw.record_id = canon.record_id) END AS who FROM canon)
-SELECT who AS claimed_user_ref, count(*) AS n, count(sec) AS timed, count(*) FILTER (login_status = 'PASS') AS passed,
+SELECT who AS claimed_user_ref, count(*) AS n, count(*) FILTER (sec >= 0) AS timed, count(*) FILTER (login_status = 'PASS') AS passed,
   count(*) FILTER (who IS NULL) AS errors FROM j GROUP BY who"""
 SQL["parse_timestamp"] = """SELECT event_id, CASE event_id % 9 WHEN 3 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT)
-  WHEN 6 THEN CAST(floor(epoch(ts)) AS BIGINT) - 14400 WHEN 7 THEN NULL WHEN 8 THEN NULL ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS sec FROM events"""
+  WHEN 6 THEN CAST(floor(epoch(ts)) AS BIGINT) - 14400 WHEN 7 THEN -1 WHEN 8 THEN -1 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS sec FROM events"""
 SQL["normalize_status"] = """WITH r AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'YES' WHEN 1 THEN '0' WHEN 2 THEN event_type WHEN 3 THEN NULL
   WHEN 4 THEN 'Blocked' WHEN 5 THEN CAST(value AS VARCHAR) WHEN 6 THEN 'ok' END AS t FROM events)
 SELECT event_id, t AS text, round(TRY_CAST(t AS DOUBLE), 2) AS number,
   CASE WHEN lower(t) IN ('yes', 'ok', '1.0') THEN 'PASS' WHEN lower(t) IN ('0', 'blocked', '0.0') THEN 'FAIL' ELSE 'NOT_SUBMITTED' END AS status,
   CASE WHEN t = '0' THEN 'LEGITIMATE' WHEN t = 'YES' THEN 'FRAUD' ELSE upper(t) END AS category,
-  CASE WHEN t = '0' THEN 0 WHEN t IS NOT NULL THEN 1 END::BIGINT AS is_fraud FROM r"""
+  CAST(CASE WHEN t = '0' THEN 0 WHEN t IS NOT NULL THEN 1 ELSE -1 END AS BIGINT) AS is_fraud FROM r"""
 SQL["mask_pii"] = f"""WITH v AS (SELECT *, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'ab' ELSE c_name END AS x FROM customer)
 SELECT c_custkey, {_MASK.format(v='x', n=2)} AS masked2, {_MASK.format(v='x', n=4)} AS masked4,
   CASE WHEN c_custkey % 2 = 0 THEN 'doc:' || substr(c_name, 1, 8) ELSE substr(c_name || c_mktsegment, 1, 24) END AS label,
@@ -502,10 +502,10 @@ SQL["validate_fields"] = """SELECT c_custkey, array_to_string(list_sort(list_fil
   lambda x: x IS NOT NULL)), '|') AS errors FROM customer"""
 SQL["age_and_residence"] = """WITH x AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN DATE '2010-06-01' WHEN 1 THEN DATE '1990-06-01'
   WHEN 2 THEN DATE '1985-12-31' WHEN 3 THEN NULL ELSE DATE '1990-01-05' END AS dob, CAST(to_timestamp(1777593600 + c_custkey * 86400) AT TIME ZONE 'UTC' AS DATE) AS d FROM customer)
-SELECT c_custkey, CAST(date_part('year', d) - date_part('year', dob) - CASE WHEN strftime(d, '%m%d') < strftime(dob, '%m%d') THEN 1 ELSE 0 END AS BIGINT) AS age,
+SELECT c_custkey, CAST(coalesce(date_part('year', d) - date_part('year', dob) - CASE WHEN strftime(d, '%m%d') < strftime(dob, '%m%d') THEN 1 ELSE 0 END, -1) AS BIGINT) AS age,
   CASE c_custkey % 6 WHEN 0 THEN 'UAE' WHEN 2 THEN 'India' WHEN 3 THEN 'Egypt' END AS country FROM x"""
 SQL["phash_distance"] = """SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN CAST(bit_count(xor(CAST('0x' || substr(sha256(text), 1, 16) AS UBIGINT),
-  CAST('0x' || substr(sha256(lang), 1, 16) AS UBIGINT))) AS BIGINT) END AS distance FROM documents"""
+  CAST('0x' || substr(sha256(lang), 1, 16) AS UBIGINT))) AS BIGINT) ELSE -1 END AS distance FROM documents"""
 
 # ---- documents
 SQL["distinct_documents"] = """WITH p AS (SELECT sha256(text) AS doc_hash, doc_id AS seq, lang FROM documents)
