@@ -12,7 +12,7 @@ def spark():
 
     # Interpreted execution: on a few hundred rows, compiling each plan costs more than running it.
     s = local_session("4", "tests", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "6g",
         "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     s.sparkContext.setLogLevel("ERROR")
     yield s

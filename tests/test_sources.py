@@ -157,3 +157,23 @@ def test_sinks(spark, tmp_path):
     writers.write_metrics(report, str(tmp_path / "m"))
     assert writers.read_metrics(spark, str(tmp_path / "m")).first()["a"] == 1
     assert writers.read_metrics(spark, str(tmp_path / "none")) is None
+
+
+def test_score_dataset_from_file_to_files(spark, tmp_path):
+    from attestra.plans.jobs import score_dataset
+    lines = ["account_id,event_time,client_ip,device_fingerprint,mobile,authentication_success,document_path,scenario"]
+    lines += [f"STUFF-{i},2026-09-02T09:00:{4 * i:02d}Z,198.51.100.40,BOT,,{'true' if i == 5 else 'false'},,CREDENTIAL_STUFFING"
+              for i in range(6)]
+    lines += ["LEGIT,2026-09-02T08:00:00Z,203.0.113.80,D1,+971505551111,true,a.jpg,LEGITIMATE",
+              ",2026-09-02T08:00:00Z,203.0.113.80,D2,,true,../b.jpg,LEGITIMATE"]
+    docs = spark.createDataFrame([("a.jpg", "h1", 7.5, ["No EXIF metadata present"])],
+                                 "path string, doc_hash string, ela_score double, metadata_flags array<string>")
+    results, report = score_dataset(spark, put(tmp_path, "in.csv", "\n".join(lines) + "\n"), str(tmp_path / "out"), documents=docs)
+    rows = {r["record_id"]: r for r in results.collect()}
+    assert [rows[i]["risk_score"] for i in range(6)] == [10, 15, 23, 23, 23, 45]
+    assert rows[6]["top_reasons"] == "DOCUMENT_ELA_ANOMALY;DOCUMENT_METADATA_MISSING" and rows[6]["rule_score"] == 28
+    assert rows[7]["status"] == "ERROR" and rows[0]["normalized_timestamp"] == "2026-09-02T09:00:00+00:00"
+    assert report.first()["row_metrics"]["recall"] == 1 / 6
+    back = spark.read.csv(str(tmp_path / "out" / "results"), header=True)
+    assert back.count() == 8 and back.columns[0] == "record_id" and len(back.columns) == 11
+    assert writers.read_metrics(spark, str(tmp_path / "out" / "metrics")).first()["record_counts"]["records"] == 8

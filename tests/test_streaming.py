@@ -16,7 +16,7 @@ from replay import random_rows, to_frame
 
 @pytest.fixture(scope="module")
 def batchwise(spark):
-    rows = random_rows(random.Random(11), 75, span=700)
+    rows = random_rows(random.Random(11), 60, span=600)
     df = durable(conform(to_frame(spark, rows)))
     want = {r["record_id"]: (r["risk_score"], r["decision"], [x["rule"] for x in r["reasons"]])
             for r in score_attempts(df).collect()}
@@ -31,29 +31,29 @@ def answers(df):
 def test_micro_batches_give_the_batch_result(spark, batchwise, tmp_path):
     ordered, want = batchwise
     state = str(tmp_path)
-    for i in range(3):
-        ss.score_batch(ordered.filter(F.floor(F.col("seq") / 25) == i).drop("seq"), i, state)
+    for i in range(2):
+        ss.score_batch(ordered.filter(F.floor(F.col("seq") / 30) == i).drop("seq"), i, state)
     got = answers(spark.read.parquet(f"{state}/scored"))
     assert got == want
     # A batch that runs again overwrites itself and nothing else.
-    again = ss.score_batch(ordered.filter(F.floor(F.col("seq") / 25) == 1).drop("seq"), 1, state)
+    again = ss.score_batch(ordered.filter(F.floor(F.col("seq") / 30) == 1).drop("seq"), 1, state)
     assert answers(again) == {k: v for k, v in want.items() if k in answers(again)}
-    assert spark.read.parquet(f"{state}/history").count() == 75
+    assert spark.read.parquet(f"{state}/history").count() == 60
 
 
 def test_state_rebuilt_from_stored_attempts(spark, batchwise, tmp_path):
     ordered, want = batchwise
-    first = ss.score_batch(ordered.filter("seq < 50").drop("seq"), 0, str(tmp_path / "a"))
+    first = ss.score_batch(ordered.filter("seq < 40").drop("seq"), 0, str(tmp_path / "a"))
     stored = first.withColumn("seq", F.col("seq") - (1 << 40))
     state = str(tmp_path / "b")
     ss.rebuild_state(stored, state)
-    late = ordered.filter("seq >= 50").drop("seq")
+    late = ordered.filter("seq >= 40").drop("seq")
     got = answers(ss.score_batch(late, 0, state))
-    assert got == {k: want[k] for k in got} and len(got) == 25
+    assert got == {k: want[k] for k in got} and len(got) == 20
     # Rows further behind than allowed go to the side output and change nothing.
     old = late.withColumn("ts", F.col("ts") - F.expr("interval 1 day")).withColumn("sec", F.col("sec") - 86400)
     assert ss.score_batch(old, 1, state, max_delay_seconds=3600).count() == 0
-    assert spark.read.parquet(f"{state}/late/batch_id=1").count() == 25
+    assert spark.read.parquet(f"{state}/late/batch_id=1").count() == 20
 
 
 def test_step_up_lifecycle(spark, tmp_path):
