@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, secrets
+from attestra.llm import decontaminate, quality, secrets
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -20,6 +20,12 @@ def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+@query
+def op1_quality(spark, sf_dir):
+    """Statistics, boilerplate and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_decontaminate(spark, sf_dir):
     """Hit words and benchmark items of every document."""

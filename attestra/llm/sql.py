@@ -1,3 +1,43 @@
 """DuckDB twins of the queries of this subpackage."""
 
 SQL: dict[str, str] = {}
+
+SQL["op1_quality"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+repeats AS (
+  SELECT rid, count(DISTINCT p) AS n
+  FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p
+        FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c >= 2)
+  GROUP BY rid),
+ls AS (
+  SELECT rid, host, text, line, lower(regexp_replace(trim(line, E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)),
+held AS (
+  SELECT *, len(regexp_extract_all(norm, '[^ ]+')) AS words FROM ls WHERE norm <> ''),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM held GROUP BY rid),
+counts AS (SELECT host, norm, count(DISTINCT text) AS n FROM held GROUP BY host, norm),
+hosts AS (SELECT host, count(DISTINCT text) AS texts FROM held GROUP BY host),
+lost AS (
+  SELECT rid, sum(words) AS n
+  FROM held JOIN counts USING (host, norm) JOIN hosts USING (host)
+  WHERE counts.n > 20 AND counts.n > hosts.texts * 0.01
+  GROUP BY rid),
+s AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(lost.n, 0) AS BIGINT) AS lost_words
+  FROM d LEFT JOIN repeats USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN lost USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND NOT (lost_words > 0 AND (n_words - lost_words < 50
+                                                       OR n_words - lost_words < n_words * 0.5)) AS kept
+FROM b
+"""
