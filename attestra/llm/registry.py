@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, quality, secrets
+from attestra.llm import decontaminate, language, quality, secrets
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -26,6 +26,16 @@ def op1_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(~language.held_out()))
+    return language.identify(docs, model).select(
+        "doc.doc_id", F.expr("coalesce(crc32(cast(cast(doc.doc_id as string) as binary)) % 3 = 1, false)")
+        .alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_decontaminate(spark, sf_dir):
     """Hit words and benchmark items of every document."""
