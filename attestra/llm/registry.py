@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, language, quality, secrets
+from attestra.llm import decontaminate, language, quality, secrets, simhash
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -26,6 +26,14 @@ def op1_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 @query
 def op3_language(spark, sf_dir):
     """Language of every document, learned from those that are not held out."""
