@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, language, quality, secrets, simhash
+from attestra.llm import decontaminate, language, mixture, quality, secrets, simhash
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -52,6 +52,12 @@ def op5_decontaminate(spark, sf_dir):
                        decontaminate.digest().alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+@query
+def op6_mixture(spark, sf_dir):
+    """Placed documents of a mixture with 97 % of the largest source entropy and four passes at most."""
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_secrets(spark, sf_dir):
     """Secrets of every document: pattern spans and expensive credential values."""

@@ -41,3 +41,60 @@ SELECT *, NOT base_failed AND NOT (lost_words > 0 AND (n_words - lost_words < 50
                                                        OR n_words - lost_words < n_words * 0.5)) AS kept
 FROM b
 """
+
+# {documents} is a table with doc_id, text and source.
+MIXTURE = r"""
+rows_ AS (
+  SELECT doc_id, coalesce(source, 'NULL') AS source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM {documents}),
+placed_ AS (SELECT * FROM rows_ WHERE n_tokens > 0),
+src AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS documents FROM placed_ GROUP BY source),
+tot AS (SELECT sum(tokens)::BIGINT AS t FROM src),
+ps AS (SELECT list(tokens / CAST(t AS DOUBLE) ORDER BY source) AS ps, 0.97 * ln(count(*)) AS target, count(*) AS n
+       FROM src, tot),
+halving AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS rlo, CAST(1 AS DOUBLE) AS rhi
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN ln(z) - m * l / z >= target THEN m ELSE lo END, CASE WHEN ln(z) - m * l / z >= target THEN hi ELSE m END,
+         CASE WHEN k / rz > 4.0 THEN r ELSE rlo END, CASE WHEN k / rz > 4.0 THEN rhi ELSE r END
+  FROM (SELECT h.*, target, (lo + hi) / 2 AS m, (rlo + rhi) / 2 AS r,
+               list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) AS z,
+               list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2) * ln(p))) AS l,
+               list_sum(list_transform(ps, lambda p: pow(p, (rlo + rhi) / 2))) AS rz,
+               list_max(list_transform(ps, lambda p: pow(p, (rlo + rhi) / 2 - 1))) AS k
+        FROM halving h, ps WHERE i < 32)),
+ends AS (
+  SELECT -list_sum(list_transform(ps, lambda p: p * ln(p))) >= target AS flat,
+         list_max(list_transform(ps, lambda p: 1 / p)) / n <= 4.0 AS seldom, n, ps FROM ps),
+alpha AS (
+  SELECT CASE WHEN n < 2 THEN 1.0 ELSE greatest(CASE WHEN flat THEN 1.0 ELSE lo END,
+                                                CASE WHEN seldom THEN 0.0 ELSE rhi END) END AS a, ps
+  FROM halving, ends WHERE i = 32),
+weights AS (
+  SELECT source, tokens, documents, t // 1000000 AS b1, t % 1000000 AS b0,
+         CAST(floor(pow(tokens / CAST(t AS DOUBLE), a) / list_sum(list_transform(ps, lambda p: pow(p, a))) * 1e9 + 0.5)
+              AS BIGINT) AS ppb
+  FROM src, tot, alpha),
+quotas AS (SELECT *, CAST(b1 * ppb // 1000 + b0 * ppb // 1000000000 AS BIGINT) AS quota FROM weights),
+plan_ AS (SELECT greatest(1, (sum(quota)::BIGINT + 262143) // 262144) AS blocks FROM quotas),
+passes AS (
+  SELECT *, CAST('0x' || substr(md5('17:' || copy || ':' || name), 1, 13) AS BIGINT) AS h
+  FROM (SELECT p.*, tokens, quota, unnest(generate_series(0, quota // tokens)) AS copy
+        FROM placed_ p JOIN quotas USING (source))),
+ended AS (
+  SELECT *, copy * tokens + sum(n_tokens) OVER (PARTITION BY source, copy ORDER BY h, name, n_tokens
+                                                ROWS UNBOUNDED PRECEDING)::BIGINT AS stop
+  FROM passes),
+blocked AS (
+  SELECT e.*, CAST(least(blocks - 1, floor(CAST(stop - n_tokens AS DOUBLE) * CAST(blocks AS DOUBLE) / quota)) AS BIGINT)
+              AS block,
+         CAST('0x' || substr(md5('17:block:' || copy || ':' || name), 1, 13) AS BIGINT) AS spot
+  FROM ended e, plan_ WHERE stop <= quota)
+SELECT doc_id, source, copy, block,
+       row_number() OVER (PARTITION BY block ORDER BY spot, name, copy, n_tokens, stop) AS position, n_tokens
+FROM blocked
+"""
+
+SQL["op6_mixture"] = "WITH RECURSIVE" + MIXTURE.replace("{documents}", "documents")
