@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, language, mixture, quality, secrets, simhash
+from attestra.llm import decontaminate, language, mixture, pii, quality, secrets, simhash
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -16,6 +16,10 @@ def query(f):
     return f
 
 
+def _named(kind: str):
+    return lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"])
+
+
 def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -44,6 +48,18 @@ def op3_language(spark, sf_dir):
         .alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_pii(spark, sf_dir):
+    """Personal data of every document."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.concat(*[F.transform(f"base.{k}", _named(k)) for k in pii.KINDS])
+    return found.select(F.col("key").alias("doc_id"),
+                        *[F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+                        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])),
+                                     ",").alias("spans"))
+
+
 @query
 def op5_decontaminate(spark, sf_dir):
     """Hit words and benchmark items of every document."""
