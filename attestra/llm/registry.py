@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, language, mixture, pii, quality, secrets, simhash
+from attestra.llm import decontaminate, html_extract, language, mixture, pii, quality, secrets, simhash
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -81,3 +81,10 @@ def op7_secrets(spark, sf_dir):
     count = [_count("base", k) for k in ("assign", "access", "hex")]
     return found.select("doc.doc_id", *count, F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
                         secrets.joined("spans").alias("spans"))
+
+
+@query
+def op10_main_text(spark, sf_dir):
+    """Main text of every page."""
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"))
