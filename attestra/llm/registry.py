@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, html_extract, language, mixture, pii, quality, secrets, simhash
+from attestra.llm import decontaminate, html_extract, language, mixture, pii, pseudo_likelihood, quality, secrets, simhash
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -83,6 +83,14 @@ def op7_secrets(spark, sf_dir):
                         secrets.joined("spans").alias("spans"))
 
 
+@query
+def op9_pseudo_likelihood(spark, sf_dir):
+    """Masked pseudo-likelihood of every document under a network trained on the corpus."""
+    docs = table(spark, sf_dir, "documents")
+    found = pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    return found.select("doc.doc_id", "n_tokens", "log_likelihood", "per_token")
+
+
 @query
 def op10_main_text(spark, sf_dir):
     """Main text of every page."""
