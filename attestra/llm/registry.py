@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, html_extract, language, mixture, pii, pseudo_likelihood, quality, secrets, simhash
+from attestra.llm import decontaminate, html_extract, language, mixture, passages, pii, pseudo_likelihood, quality, secrets, simhash
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -83,6 +83,14 @@ def op7_secrets(spark, sf_dir):
                         secrets.joined("spans").alias("spans"))
 
 
+@query
+def op8_passages(spark, sf_dir):
+    """Passages that documents share, and the components they form."""
+    return passages.shared_passages(table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), F.col("component").alias("component_id"), "n_links", "n_passages",
+        "n_words_shared", "passages")
+
+
 @query
 def op9_pseudo_likelihood(spark, sf_dir):
     """Masked pseudo-likelihood of every document under a network trained on the corpus."""
