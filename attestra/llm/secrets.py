@@ -93,7 +93,7 @@ def log10_guesses(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
         if i - step >= 2:
             offer(step, i + 1, character(value[i]) + math.log10(2 * (i - step + 1)))
         if i - walk >= 3:
-            offer(walk, i + 1, math.log10(47) + 0.5 * (i - walk))
+            offer(walk, i + 1, math.log10(47) + 0.15 * (i - walk))
     for m in re.finditer(r"(.{2,}?)\1+", value, re.S):      # a repeated block costs its block
         if n <= 256 and len(m.group(1)) < n:
             times = len(m.group()) // len(m.group(1))
