@@ -9,20 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attestra.policy import Skew
 from attestra.session import durable
 
-NULL_SPREAD = 4096
-
 
 def hot_values(df: DataFrame, keys: Iterable[str], skew: Skew,
                total: int | None = None) -> dict[str, DataFrame | None]:
     """For each key column the values with more rows than the skew limit, or None.
 
-    One pass over the data for all columns. The result has at most ``total / limit`` rows per
-    column (``Skew.hot_limit`` keeps that under ``max_hot_values``), which is what makes the
-    broadcast in :func:`slotted` safe.
+    One pass over the data for all columns. A list of at most ``Skew.broadcast_values`` carries a
+    broadcast hint; a longer one is joined like any other table.
     """
     keys = list(keys)
     total = df.count() if total is None else total
-    limit = skew.hot_limit(total)
+    limit = skew.hot_rows
     if total <= limit:
         return dict.fromkeys(keys)
     long = df.select(F.explode(F.array(*[
@@ -32,7 +29,9 @@ def hot_values(df: DataFrame, keys: Iterable[str], skew: Skew,
     out: dict[str, DataFrame | None] = {}
     for k in keys:
         one = found.filter(F.col("k") == k).select(F.col("v").cast(df.schema[k].dataType).alias(k))
-        out[k] = None if one.isEmpty() else one
+        n = one.count()
+        one = one.withColumn("_hot", F.lit(True))
+        out[k] = None if n == 0 else F.broadcast(one) if n <= skew.broadcast_values else one
     return out
 
 
@@ -47,8 +46,7 @@ def slotted(df: DataFrame, key: str, hot: DataFrame | None, skew: Skew,
     if hot is None:
         df = df.withColumn("_hot", F.lit(False))
     else:
-        df = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left") \
+        df = df.join(hot, key, "left") \
                .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    return df.withColumn("_slot", F.when(missing, F.pmod(F.col("seq"), F.lit(NULL_SPREAD)))
-                         .when(F.col("_hot"), F.floor(F.col("seq") / skew.block_rows))
+    return df.withColumn("_slot", F.when(missing | F.col("_hot"), F.floor(F.col("seq") / skew.block_rows))
                          .otherwise(F.lit(0)).cast("long"))

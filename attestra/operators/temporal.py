@@ -105,6 +105,9 @@ def account_spread(df: DataFrame, seconds: int = 300, out: str = "velocity_accou
     stream = df.withColumn("_k", F.lit(1)).withColumn("_d", F.lit(0)) \
                .unionByName(marks, allowMissingColumns=True)
     d = slotted(stream, key, hot, skew, missing)
+    if hot is not None:     # closings have no place in the order: a hot key's go to slots by time
+        d = d.withColumn("_slot", F.when(F.col("_hot") & ~missing & (F.col("_k") == 0),
+                                         -1 - F.floor(F.col("sec") / (seconds + 1)).cast("long")).otherwise(F.col("_slot")))
     running = _zero(F.sum("_d").over(
         W.partitionBy(key, "_slot").orderBy("sec", "seq", "_k").rowsBetween(*_PAST)))
     if hot is None:

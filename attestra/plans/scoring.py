@@ -10,6 +10,7 @@ handling the rows one at a time.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from attestra.session import durable
 KEYS = ("ip_address", "claimed_user_ref", "device_id", "document_hash")
 NARROW = ("seq", "sec", *KEYS, "login_status")
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass
 class Base:
@@ -197,15 +200,16 @@ def _blocks(base: Base, prior: DataFrame | None, policy: Policy, model, skew: Sk
 def fixpoint(base: Base, policy: Policy = Policy(), model=None, skew: Skew = Skew()
              ) -> tuple[DataFrame | None, int]:
     """The blocked rows once no decision changes any more, and the number of rounds it took."""
-    prior, prior_n = None, 0
-    for round_no in range(1, policy.max_rounds + 1):
+    prior, prior_n, round_no = None, 0, 0
+    while True:                     # each round settles at least the next row, so this ends
+        round_no += 1
         now = _blocks(base, prior, policy, model, skew)
         n = now.count()
         same = n == prior_n and (n == 0 or now.join(prior, "seq", "left_anti").isEmpty())
         if same:
             return prior, round_no
+        logger.info("round %d: %d blocked", round_no, n)
         prior, prior_n = (now, n) if n else (None, 0)
-    raise RuntimeError(f"decisions still change after {policy.max_rounds} rounds")
 
 
 def score_ordered(log: DataFrame, policy: Policy = Policy(), model=None, skew: Skew = Skew(),
@@ -222,7 +226,8 @@ def score_ordered(log: DataFrame, policy: Policy = Policy(), model=None, skew: S
         flags = with_feedback(base.rows.select("seq", "ip_address", "device_id"), base, blocks, skew)
         d = base.rows.join(flags.drop("ip_address", "device_id"), "seq")
     d = scores(d, policy, model)
-    reused = d.filter("has_forensics AND document_other_count > 0").select(
+    # Who presented a document before does not depend on decisions: the feedback joins stay out of this.
+    reused = base.rows.filter("has_forensics AND document_other_count > 0").select(
         "seq", "document_hash", "claimed_user_ref")
     named = temporal.document_other_names(reused, temporal.first_presenters(
         base.rows.join(reused.select("document_hash").distinct(), "document_hash", "left_semi"))) \

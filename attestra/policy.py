@@ -102,7 +102,6 @@ class Policy:
     attack_rules: dict = field(default_factory=lambda: dict(ATTACK_RULES))
     disposable_domains: tuple = DISPOSABLE_DOMAINS
     country_prefix: dict = field(default_factory=lambda: dict(COUNTRY_PREFIX))
-    max_rounds: int = 200
 
 
 FALLBACK_ANOMALY_THRESHOLD = 10.8
@@ -119,8 +118,4 @@ class Skew:
     hot_rows: int = 4_000_000
     block_rows: int = 4_000_000
     cluster_rows: int = 250_000
-    max_hot_values: int = 100_000
-
-    def hot_limit(self, total: int) -> int:
-        """Rows above which a key is hot; keeps the hot list under ``max_hot_values``."""
-        return max(self.hot_rows, total // self.max_hot_values)
+    broadcast_values: int = 100_000     # a longer list of hot keys is joined without a broadcast hint

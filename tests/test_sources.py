@@ -177,3 +177,47 @@ def test_score_dataset_from_file_to_files(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "out" / "results"), header=True)
     assert back.count() == 8 and back.columns[0] == "record_id" and len(back.columns) == 11
     assert writers.read_metrics(spark, str(tmp_path / "out" / "metrics")).first()["record_counts"]["records"] == 8
+
+
+def test_untidy_files(spark, tmp_path):
+    lines = ['{"user_id": "a", "user_id": "b", "amount": NaN, "device": 123.0, "label": 1.0, "time": 1.7e9, "error": "timeout"}',
+             '{"user_id": "c", "device": 7, "nested": {"x": [1]}, "time": 1700000000}', '{"user_id": "d"} x', "", '"text"', "NaN",
+             '{"user_id": "e", "device": true, "time": null}']
+    rows = readers.read_attempts(spark, put(tmp_path, "u.jsonl", "\n".join(lines))).orderBy("record_id").collect()
+    assert [(r["record_id"], r["claimed_user_ref"], r["device_id"], r["sec"], r["error"]) for r in rows] == [
+        (0, "b", "123.0", 1_700_000_000, None), (1, "c", "7", 1_700_000_000, None),
+        (2, None, None, None, "line 3 is not valid JSON"), (3, None, None, None, "record is not an object/row of fields"),
+        (4, None, None, None, "record is not an object/row of fields"), (5, "e", "true", None, None)]
+    assert rows[0]["label_category"] == "1.0" and rows[0]["label_is_fraud"]
+    body = '[{"user_id": "a", "score": NaN}, 5, {"user_id": "b", "user_id": "c"}]'
+    for text in (body, ' {"x": [], "records": %s}\n' % body):
+        got = readers.read_attempts(spark, put(tmp_path, "u.json", text)).orderBy("record_id").collect()
+        assert [(r["claimed_user_ref"], r["error"]) for r in got] == [
+            ("a", None), (None, "record is not an object/row of fields"), ("c", None)]
+    for text in ("[]", '{"rows": []}', "[1, 2", "nothing", "5"):
+        with pytest.raises(readers.DatasetError):
+            readers.read_raw(spark, put(tmp_path, "bad.json", text)).count()
+
+
+def test_columns_of_the_user(spark, tmp_path):
+    body = "user_id,device,device,error,record_id,_parse_error\nu1,d1,d2,timeout,99,x\nu2,d3,,,98,y\n"
+    rows = readers.read_attempts(spark, put(tmp_path, "c.csv", body), multi_line=False).orderBy("record_id").collect()
+    assert [(r["record_id"], r["claimed_user_ref"], r["device_id"], r["error"]) for r in rows] == [
+        (0, "u1", "d2", None), (1, "u2", None, None)]
+
+
+def test_iso_spellings(spark):
+    from datetime import datetime, timezone
+    texts = ["2024-01-02T05", "2024-W01-1", "20240102T0506", "2024-01-02T05:06:07+04", "2024-01-02T05:06:07+04:00:30",
+             "20240102T050607+0400", "2024-01-02T050607", "2024-01-02x05:06:07", "2024-W01", "2020-W53-7", "2024-01-02",
+             "2024-01-02T05:06:07.1234567891", "2024-01-02T05:06:07,5"]
+    bad = ["2024-01-02T05:06:07z", "2024-W53-1", "2024-02-30", "2024-01-02T25:00:00", "2024-01-02T5", "24-01-02", "2024-001"]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "t string")
+    got = {r["t"]: r["u"] for r in df.select("t", F.unix_micros(clean.parse_timestamp(F.col("t"))).alias("u")).collect()}
+    for t in texts:
+        d = datetime.fromisoformat(t)
+        d = d.replace(tzinfo=timezone.utc) if d.tzinfo is None else d
+        assert got[t] == round((d - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds() * 1e6), t
+    assert all(got[t] is None for t in bad)
+    n = spark.createDataFrame([(t,) for t in ("1.0d", "1f", "1_0", "1__0", "inf", "1e5", ".5", "5.")], "t string")
+    assert [r[0] for r in n.select(clean.to_double(F.col("t"))).collect()] == [None, None, 10.0, None, float("inf"), 1e5, 0.5, 5.0]
