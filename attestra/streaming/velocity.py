@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,53 +16,76 @@ ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
 class TrailingCounts(StatefulProcessor):
     """Per key: rows and distinct members per second, kept only while a window can still see them.
 
-    State is a map (second, member) -> rows, so its size follows the window and not the traffic. Rows
-    of a micro-batch are taken in time order; a late row sees the state of its own window.
+    State is a map (second, member) -> rows, so its size follows the window and not the traffic. A timer
+    per key drops what the watermark has passed, so keys that fall silent leave nothing behind. Rows of a
+    micro-batch are taken in time order, each in constant time on average; a late row sees the state of
+    its own window.
     """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getMapState("seen", "sec long, member string", "n long")
 
+    def _prune(self, watermark_ms: int, spare=()) -> int | None:
+        """Drop seconds no window can reach any more; the latest second that stays."""
+        horizon = watermark_ms // 1000 - self.seconds
+        latest = None
+        for k in [tuple(k) for k in self.seen.keys()]:
+            if k[0] < horizon and k not in spare:
+                self.seen.removeKey(k)
+            else:
+                latest = k[0] if latest is None else max(latest, k[0])
+        return latest
+
+    def _wake(self, latest: int | None) -> None:
+        if latest is not None:
+            self.handle.registerTimer((latest + self.seconds + 2) * 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = {k: v[0] for k, v in self.seen.iterator()}
+        kept = {tuple(k): v[0] for k, v in self.seen.iterator()}
         batch = pd.concat(list(rows)).sort_values(["ts", "record_id"], kind="stable")
-        horizon = timerValues.getCurrentWatermarkInMs() // 1000 - self.seconds
         later = sorted(kept)                    # state not yet inside the moving window
-        live: dict = {}                         # second -> Counter of members inside the window
-        rows_in, members = 0, Counter()
-        i, answers, changed = 0, [], {}
+        live: deque = deque()                   # (second, member, rows) inside the window, oldest first
+        members: Counter = Counter()
+        rows_in = named = i = 0
+        answers, changed = [], {}
+
+        def enter(sec, member, n):
+            nonlocal rows_in, named
+            live.append((sec, member, n))
+            rows_in += n
+            named += member != "" and not members[member]
+            members[member] += n
+
         for r in batch.itertuples(index=False):
             while i < len(later) and later[i][0] <= r.sec:
-                sec, member = later[i]
-                n = kept[later[i]]
-                live.setdefault(sec, Counter())[member] += n
-                rows_in += n
-                members[member] += n
+                enter(*later[i], kept[later[i]])
                 i += 1
-            for sec in [s for s in live if s < r.sec - self.seconds]:
-                for member, n in live.pop(sec).items():
-                    rows_in -= n
-                    members[member] -= n
-                    if not members[member]:
-                        del members[member]
-            answers.append((r.record_id, r.sec, rows_in, sum(1 for m in members if m != "")))
+            while live and live[0][0] < r.sec - self.seconds:
+                _, member, n = live.popleft()
+                rows_in -= n
+                members[member] -= n
+                if not members[member]:
+                    del members[member]
+                    named -= member != ""
+            answers.append((r.record_id, r.sec, rows_in, named))
             if r.counts:
                 member = r.member or ""
-                live.setdefault(r.sec, Counter())[member] += 1
-                rows_in += 1
-                members[member] += 1
+                enter(r.sec, member, 1)
                 changed[(r.sec, member)] = changed.get((r.sec, member), kept.get((r.sec, member), 0)) + 1
         for k, n in changed.items():
             self.seen.updateValue(k, (n,))
-        for k in kept:
-            if k[0] < horizon and k not in changed:
-                self.seen.removeKey(k)
+        self._wake(self._prune(timerValues.getCurrentWatermarkInMs(), changed))
         yield pd.DataFrame(answers, columns=["record_id", "sec", "rows_before", "members_before"]).assign(
             key=key[0])[["key", "record_id", "sec", "rows_before", "members_before"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._wake(self._prune(timerValues.getCurrentWatermarkInMs()))
+        return iter([])
+
     def close(self) -> None:
         pass
 
