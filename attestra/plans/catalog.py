@@ -854,3 +854,73 @@ def stream_score(spark, d):
     _in_steps(spark, ordered(ad.attempts_from_orders(spark, d)), 2,
               lambda source: score_stream(source, state, ad.ORDER_POLICY))
     return spark.read.parquet(f"{state}/scored").select("record_id", *_long("rule_points", "risk_score"), "decision")
+
+
+# ---- files in, results out ------------------------------------------------------------------------
+
+def _scored_file(spark, d):
+    """C8 on the order attempts as CSV files: the folder with results and metrics."""
+    path, output = scratch_path(spark, "attempts") + ".csv", scratch_path(spark, "output")
+    o = ad.attempts_from_orders(spark, d)
+    o.selectExpr(
+        "record_id AS source_id", "claimed_user_ref AS `Account-ID`",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS `Event Time`", "ip_address AS ip", "device_id AS device",
+        "phone", "address", "email", "date_of_birth", "document_hash", "ela_score AS document_anomaly",
+        "CASE login_status WHEN 'PASS' THEN 'yes' WHEN 'FAIL' THEN 'denied' END AS success",
+        "CASE liveness_status WHEN 'PASS' THEN 'ok' ELSE 'fail' END AS liveness_status", "'timeout' AS error",
+        "CASE WHEN scenario <> 'UNKNOWN' THEN scenario END AS label") \
+        .repartitionByRange(3, "source_id").sortWithinPartitions("source_id").write.csv(path, header=True, quote='"', escape='"')
+    jobs.score_dataset(spark, path, output, ad.ORDER_POLICY, multi_line=False)
+    return output
+
+
+@query
+def score_dataset_results(spark, d):
+    """Attempts read from files, scored, and the written results read back."""
+    r = spark.read.csv(f"{_scored_file(spark, d)}/results", header=True, quote='"', escape='"')
+    return r.select(*_long("record_id"), "user_ref", "normalized_timestamp", *_long("risk_score"), "decision",
+                    "predicted_attack", *_long("rule_score"), "status",
+                    F.coalesce("error_reason", F.lit("")).alias("error_reason"))
+
+
+@query
+def score_dataset_metrics(spark, d):
+    """The written metrics read back."""
+    m = writers.read_metrics(spark, f"{_scored_file(spark, d)}/metrics")
+    return m.select(*[F.col(f"record_counts.{c}").cast("long").alias(c) for c in ("records", "valid_records")],
+                    F.round("row_metrics.precision", 6).alias("precision"), F.round("row_metrics.recall", 6).alias("recall"),
+                    F.col("decision_breakdown.overall.BLOCK").cast("long").alias("blocked"))
+
+
+@query
+def write_scored_tables(spark, d):
+    """Scored attempts and reasons as tables, joined again with each other and the audit events."""
+    path = scratch_path(spark, "scored")
+    scored = durable(_scored_orders(spark, d), "scored")
+    writers.write_scored(scored, path)
+    attempts, why = spark.read.parquet(f"{path}/attempts"), spark.read.parquet(f"{path}/reasons")
+    told = reports.with_reasons(attempts, why).groupBy("attempt_ref", "initial_decision", "rule_points").agg(
+        F.count("*").alias("reasons"), F.sum("points").cast("long").alias("points"))
+    heard = reports.with_audit(attempts, writers.audit_events(scored)).groupBy("attempt_ref").agg(
+        F.count("*").alias("events"))
+    return told.join(heard, "attempt_ref").select("attempt_ref", "initial_decision", *_long("rule_points"), "reasons",
+                                                  "points", "events")
+
+
+@query
+def lookups(spark, d):
+    """Users by reference, staff by e-mail or reference, the next identity number."""
+    users = ad.table(spark, d, "customer").selectExpr("concat('C', c_custkey) AS user_ref", "c_custkey AS id")
+    staff = ad.table(spark, d, "supplier").selectExpr(
+        "concat('E', s_suppkey) AS employee_ref", "concat(s_name, '@Example.com') AS email", "s_suppkey AS id")
+    people = ad.table(spark, d, "customer").selectExpr(
+        "CASE c_custkey % 3 WHEN 0 THEN concat('SIM-', c_custkey) WHEN 1 THEN concat('SIM-x', c_custkey) "
+        "ELSE concat('T', c_custkey) END AS claimed_user_ref")
+    found = [("user", reports.user_by_ref(users, "C7")), ("mail", reports.staff_by_identifier(staff, "sUPPLIER#000000005@EXAMPLE.com")),
+             ("ref", reports.staff_by_identifier(staff, "E5")), ("case", reports.staff_by_identifier(staff, "e5")),
+             ("next", reports.next_identity_index(people).withColumnRenamed("next_index", "id"))]
+    out = None
+    for kind, rows in found:
+        one = rows.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"))
+        out = one if out is None else out.unionByName(one)
+    return out

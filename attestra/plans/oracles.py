@@ -547,3 +547,23 @@ SELECT attempt_ref, CASE outcome WHEN 'PASSED' THEN 'ALLOW' WHEN 'FAILED' THEN '
   CASE outcome WHEN 'PASSED' THEN 'PASS' WHEN 'FAILED' THEN 'FAIL' END AS step_up_result FROM res LEFT JOIN hit USING (attempt_ref)"""
 SQL["stream_velocity"] = f"""WITH {EVENTS} SELECT a.seq, count(b.seq) AS velocity_ip_count, count(DISTINCT b.identity) AS identities
   FROM ev a LEFT JOIN ev b ON b.ip = a.ip AND b.seq < a.seq AND b.sec BETWEEN a.sec - 21600 AND a.sec GROUP BY a.seq"""
+
+_FILE = f"""sc AS ({SQL["score_with_feedback"].replace("WITH RECURSIVE", "WITH", 1)}),
+fl AS (SELECT row_number() OVER (ORDER BY sc.record_id) - 1 AS pos, sc.*, o.scenario, o.identity, o.ts AS moment
+  FROM sc JOIN (WITH {ORDERS} SELECT * FROM att) o USING (record_id))"""
+_FILE = f"WITH RECURSIVE {_FILE}".replace("WITH RECURSIVE sc AS (WITH", "WITH sc AS (WITH RECURSIVE")
+SQL["score_dataset_results"] = f"""{_FILE} SELECT pos AS record_id, identity AS user_ref,
+  strftime(moment, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS normalized_timestamp, risk_score, decision, predicted_attack,
+  rule_points AS rule_score, 'OK' AS status, '' AS error_reason FROM fl"""
+SQL["score_dataset_metrics"] = f"""{_FILE} SELECT count(*) AS records, count(*) AS valid_records,
+  round(count(*) FILTER (decision <> 'ALLOW' AND scenario = 'CREDENTIAL_STUFFING')
+    / count(*) FILTER (decision <> 'ALLOW' AND scenario <> 'UNKNOWN'), 6) AS precision,
+  round(count(*) FILTER (decision <> 'ALLOW' AND scenario = 'CREDENTIAL_STUFFING')
+    / count(*) FILTER (scenario = 'CREDENTIAL_STUFFING'), 6) AS recall,
+  count(*) FILTER (decision = 'BLOCK') AS blocked FROM fl"""
+SQL["write_scored_tables"] = f"""{_FILE} SELECT printf('EVAL-%06d', record_id) AS attempt_ref, decision AS initial_decision,
+  rule_points, len(string_split(rules, ';')) AS reasons, rule_points AS points, 2 AS events FROM fl WHERE rules <> ''"""
+SQL["lookups"] = """SELECT 'user' AS kind, c_custkey AS id FROM customer WHERE c_custkey = 7
+UNION ALL SELECT 'mail', s_suppkey FROM supplier WHERE lower(s_name) = 'supplier#000000005'
+UNION ALL SELECT 'ref', s_suppkey FROM supplier WHERE s_suppkey = 5
+UNION ALL SELECT 'next', coalesce(max(c_custkey), 0) + 1 FROM customer WHERE c_custkey % 3 = 0"""
