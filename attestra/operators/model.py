@@ -26,16 +26,22 @@ def training_matrix(rows: DataFrame) -> DataFrame:
     return d.select(*cols, F.col("scenario").alias("label"))
 
 
+def class_weights(matrix: DataFrame) -> dict[str, tuple[int, float]]:
+    """Rows and balanced weight of each label."""
+    counts = {r["label"]: r["count"] for r in matrix.groupBy("label").count().collect()}
+    n = sum(counts.values())
+    return {label: (c, n / (len(counts) * c)) for label, c in sorted(counts.items())}
+
+
 def train_model(matrix: DataFrame, seed: int = 42, trees: int = 200, min_rows: int = 50
                 ) -> PipelineModel:
     """L2: forest with balanced class weights. The class counts are the only thing collected."""
-    counts = {r["label"]: r["count"] for r in matrix.groupBy("label").count().collect()}
-    n = sum(counts.values())
-    if n < min_rows or len(counts) < 2:
+    weights = class_weights(matrix)
+    if sum(n for n, _ in weights.values()) < min_rows or len(weights) < 2:
         raise ValueError("Need at least 50 labelled attempts and two classes.")
     weight = F.lit(None).cast("double")
-    for label, c in counts.items():
-        weight = F.when(F.col("label") == label, n / (len(counts) * c)).otherwise(weight)
+    for label, (_, w) in weights.items():
+        weight = F.when(F.col("label") == label, w).otherwise(weight)
     stages = [
         StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=FEATURES, outputCol="vector"),

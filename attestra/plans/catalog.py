@@ -300,13 +300,33 @@ def rescore_changes(spark, d):
 
 @query
 def train_and_score(spark, d):
-    """L1-L5 on the feature vectors of scored orders, and L7's summary."""
+    """L1-L8 on the feature vectors of scored orders: one row per label with what must hold of the model.
+
+    The forest itself is random; counts, class weights and the bounds below are not.
+    """
     s = durable(_scored_orders(spark, d), "scored")
     matrix = durable(ml.training_matrix(readers.read_training_rows(
         s.withColumn("features", F.to_json("features")))), "matrix")
-    forest = ml.train_model(matrix, trees=20)
-    p = ml.predicted_label(ml.fraud_probability(matrix, forest), forest)
-    return metrics.evaluate_model(p, reports.labelled_breakdown(s), ml.model_labels(forest))["summary"]
+    path = scratch_path(spark, "forest")
+    ml.save_model(ml.train_model(matrix), path)
+    forest = ml.load_model(path)
+    p = durable(ml.predicted_label(ml.fraud_probability(matrix, forest), forest).withColumn(
+        "drivers", ml.contributors(forest)), "predicted")
+    report = metrics.evaluate_model(p, reports.labelled_breakdown(s), ml.model_labels(forest))["summary"]
+    weights = ml.class_weights(matrix)
+    right = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+    weighty = ml.feature_importances(spark, forest).agg(F.round(F.sum("importance"), 6), F.count("*")).first()
+    ml.assert_disjoint(s.filter("record_id % 2 = 0"), s.filter("record_id % 2 = 1").withColumn(
+        "document_hash", F.concat(F.lit("other-"), "document_hash")))
+    most = max(n for n, _ in weights.values()) / sum(n for n, _ in weights.values())
+    return p.groupBy("label").agg(
+        F.count("*").alias("n"), F.min(F.col("ml_probability").between(0, 1)).alias("within_bounds"),
+        F.min(F.forall("drivers", lambda x: x["weight"] > 0) & (F.size("drivers") <= 5)).alias("drivers_ok")) \
+        .withColumn("weight", F.round(F.create_map(*[F.lit(x) for k, (_, w) in weights.items() for x in (k, w)])[
+            F.col("label")], 6)) \
+        .withColumn("importances_ok", F.lit(weighty[0] == 1.0 and weighty[1] == 15)) \
+        .withColumn("better_than_majority", F.lit(right >= most)) \
+        .withColumn("report_rows", F.lit(report.count()).cast("long"))
 
 
 @query
@@ -450,7 +470,8 @@ def attempt_detail(spark, d):
         "stage": F.lit("LOGIN"), "document_status": F.lit("PASS"), "liveness_status": F.lit("PASS"),
         "login_status": F.lit("PASS"), "ela_score": (F.col("record_id") % 10).cast("double"),
         "metadata_flags": F.array().cast("array<string>")})
-    reg = writers.document_registry(full.filter("record_id % 4 <> 0"))
+    reg = writers.document_registry(full.withColumn("document_hash", F.expr(      # a quarter of the keys miss
+        "CASE WHEN record_id % 4 = 0 THEN concat('Z', document_hash) ELSE document_hash END")))
     return reports.attempt_detail(full, writers.audit_events(full), reg, key=KEY).select(
         "attempt_ref", "phone", F.size("reasons").cast("long").alias("n_reasons"),
         F.try_element_at("reasons", F.lit(1))["rule"].alias("first_reason"),
@@ -469,8 +490,8 @@ def document_registry(spark, d):
 @query
 def upsert_users(spark, d):
     """Customers are the known users, order rows bring new names and new users."""
-    users = ad.table(spark, d, "customer").filter("c_custkey % 3 <> 0").selectExpr(
-        "concat('C', c_custkey) AS user_ref", "c_name AS full_name", "c_mktsegment AS nationality")
+    users = ad.table(spark, d, "customer").selectExpr(
+        "concat('C', c_custkey * 2) AS user_ref", "c_name AS full_name", "c_mktsegment AS nationality")
     new = ad.table(spark, d, "orders").selectExpr(
         "concat('C', o_custkey) AS user_ref", "concat('N', o_orderkey) AS full_name",
         "o_orderpriority AS nationality", "o_orderkey AS n")

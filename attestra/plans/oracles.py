@@ -360,8 +360,8 @@ EVN = f"""{RSN}, evs AS (SELECT record_id, attempt_ref, 0 AS step, 'RISK_EVALUAT
 SQL["audit_trail"] = f"""WITH {EVN} SELECT attempt_ref, CAST(step AS BIGINT) AS step, event, details FROM evs
   ORDER BY record_id DESC, step DESC LIMIT 200"""
 SQL["audit_events"] = f"""WITH {EVN} SELECT event, count(*) AS n, count(DISTINCT details) AS texts FROM evs GROUP BY event"""
-SQL["attempt_detail"] = f"""WITH {RSN}, reg AS (SELECT document_hash, min_by(record_id % 10, record_id) AS ela FROM rr
-  WHERE record_id % 4 <> 0 GROUP BY 1), pres AS (SELECT document_hash, count(*) AS n FROM rr GROUP BY 1),
+SQL["attempt_detail"] = f"""WITH {RSN}, reg AS (SELECT CASE WHEN record_id % 4 = 0 THEN 'Z' || document_hash
+  ELSE document_hash END AS document_hash, min_by(record_id % 10, record_id) AS ela FROM rr GROUP BY 1), pres AS (SELECT document_hash, count(*) AS n FROM rr GROUP BY 1),
 ph AS (SELECT o_orderkey AS record_id, CASE WHEN o_custkey % 9 < 2 THEN '+' || (97150000000 + o_custkey // 9) END AS p FROM orders)
 SELECT attempt_ref, {_MASK.format(v='p', n=2)} AS phone, CAST(len(rs) AS BIGINT) AS n_reasons,
   (list_sort(list_transform(rs, lambda x: {{'p': -x.p, 'i': x.i, 'n': x.n}}))[1]).n AS first_reason, CAST(2 AS BIGINT) AS n_events,
@@ -372,7 +372,7 @@ SQL["document_registry"] = """SELECT sha256(text) AS doc_hash, substr(sha256(tex
   CAST(min(doc_id) % 17 AS DOUBLE) AS ela_score, count(*) AS seen_count FROM documents GROUP BY 1, 2"""
 SQL["upsert_users"] = """WITH n AS (SELECT 'C' || o_custkey AS user_ref, 'N' || max(o_orderkey) AS name,
   min_by(o_orderpriority, o_orderkey) AS nat FROM orders GROUP BY 1),
-u AS (SELECT 'C' || c_custkey AS user_ref, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)
+u AS (SELECT 'C' || (c_custkey * 2) AS user_ref, c_name, c_mktsegment FROM customer)
 SELECT coalesce(u.user_ref, n.user_ref) AS user_ref, coalesce(n.name, u.c_name) AS full_name,
   coalesce(u.c_mktsegment, n.nat) AS nationality FROM u FULL JOIN n ON n.user_ref = u.user_ref"""
 SQL["unregistered"] = f"""WITH {ORDERS}, u AS (SELECT 'C' || (c_custkey * 2) AS user_ref,
@@ -567,3 +567,7 @@ SQL["lookups"] = """SELECT 'user' AS kind, c_custkey AS id FROM customer WHERE c
 UNION ALL SELECT 'mail', s_suppkey FROM supplier WHERE lower(s_name) = 'supplier#000000005'
 UNION ALL SELECT 'ref', s_suppkey FROM supplier WHERE s_suppkey = 5
 UNION ALL SELECT 'next', coalesce(max(c_custkey), 0) + 1 FROM customer WHERE c_custkey % 3 = 0"""
+
+SQL["train_and_score"] = f"""WITH {ORDERS}, c AS (SELECT scenario AS label, count(*) AS n FROM att WHERE scenario <> 'UNKNOWN' GROUP BY 1)
+SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight, true AS within_bounds,
+  true AS drivers_ok, true AS importances_ok, true AS better_than_majority, CAST(1 AS BIGINT) AS report_rows FROM c"""
