@@ -945,3 +945,44 @@ def lookups(spark, d):
         one = rows.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query
+def stream_late(spark, d):
+    """ST4: with a bound on delay, older events go to their own folder and are not scored."""
+    from attestra.streaming.scoring import score_batch
+    state = scratch_path(spark, "state")
+    o = durable(ordered(ad.attempts_from_orders(spark, d)), "log")
+    half = o.count() // 2
+    early = (F.col("seq") < half) & (F.col("record_id") % 10 != 0)
+    score_batch(o.filter(early).drop("seq"), 0, state, ad.ORDER_POLICY, max_delay_seconds=30 * ad.DAY)
+    score_batch(o.filter(~early).drop("seq"), 1, state, ad.ORDER_POLICY, max_delay_seconds=30 * ad.DAY)
+    fate = [spark.read.parquet(f"{state}/{folder}").select("record_id", F.lit(name).alias("fate"))
+            for folder, name in (("scored", "scored"), ("late", "late"))]
+    return fate[0].unionByName(fate[1])
+
+
+@query
+def stream_rebuild(spark, d):
+    """ST5: the state rebuilt from the first half of the scored orders, the second half streamed onto it."""
+    from attestra.streaming.scoring import rebuild_state, stream_score as score_stream
+    state = scratch_path(spark, "state")
+    o = durable(ordered(ad.attempts_from_orders(spark, d)), "log")
+    half = o.count() // 2
+    rebuild_state(durable(score_attempts(o.filter(F.col("seq") < half).drop("seq"), ad.ORDER_POLICY), "first"), state)
+    _in_steps(spark, o.filter(F.col("seq") >= half).withColumn("seq", F.col("seq") - half), 1,
+              lambda source: score_stream(source, state, ad.ORDER_POLICY))
+    return spark.read.parquet(f"{state}/scored").select("record_id", *_long("rule_points", "risk_score"), "decision")
+
+
+@query
+def stream_step_up(spark, d):
+    """ST3 as a stream: responses arrive in three pieces and resolve the challenges of the scored orders."""
+    from attestra.operators.ordering import dense_rank_in_order
+    from attestra.streaming.stepup import stream_step_up as step_up_stream
+    state = scratch_path(spark, "state")
+    scored, responses = _challenges(spark, d)
+    challenges = durable(stepup.open_challenges(scored), "challenges")
+    log = dense_rank_in_order(responses, [F.col("answered_at").asc(), F.col("response_id").asc()], "seq")
+    _in_steps(spark, log, 3, lambda source: step_up_stream(source, lambda: challenges, state))
+    return spark.read.parquet(f"{state}/resolved").select("attempt_ref", "step_up_result", "decision")

@@ -571,3 +571,9 @@ UNION ALL SELECT 'next', coalesce(max(c_custkey), 0) + 1 FROM customer WHERE c_c
 SQL["train_and_score"] = f"""WITH {ORDERS}, c AS (SELECT scenario AS label, count(*) AS n FROM att WHERE scenario <> 'UNKNOWN' GROUP BY 1)
 SELECT label, n, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight, true AS within_bounds,
   true AS drivers_ok, true AS importances_ok, true AS better_than_majority, CAST(1 AS BIGINT) AS report_rows FROM c"""
+SQL["stream_late"] = f"""WITH {ORDERS}, e AS (SELECT *, seq < (SELECT count(*) // 2 FROM att) AND record_id % 10 <> 0 AS early FROM att),
+m AS (SELECT max(sec) - {30 * DAY} AS bound FROM e WHERE early)
+SELECT record_id, CASE WHEN NOT early AND sec < bound THEN 'late' ELSE 'scored' END AS fate FROM e, m"""
+SQL["stream_rebuild"] = SQL["stream_score"] + " WHERE seq >= (SELECT count(*) // 2 FROM att)"
+SQL["stream_step_up"] = f"""WITH {STEP} SELECT attempt_ref, CASE outcome WHEN 'PASSED' THEN 'PASS' ELSE 'FAIL' END AS step_up_result,
+  CASE outcome WHEN 'PASSED' THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM oc WHERE outcome IN ('PASSED', 'FAILED')"""
