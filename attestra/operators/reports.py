@@ -158,7 +158,7 @@ def attempt_detail(scored: DataFrame, events: DataFrame, registry: DataFrame, re
     audit = events if ref is None else events.filter(F.col("attempt_ref") == ref)
     trail = audit.groupBy("attempt_ref").agg(F.array_sort(F.collect_list(
         F.struct("step", "event", "details"))).alias("audit"))
-    seen = document_presentations(scored.join(
+    seen = document_presentations(scored if ref is None else scored.join(
         d.select("document_hash").distinct(), "document_hash", "left_semi"))
     full = with_document(d, registry).join(seen, "document_hash", "left").join(trail, "attempt_ref", "left")
     view = analyst_view(full, key).columns
