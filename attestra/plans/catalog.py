@@ -759,7 +759,7 @@ def phash_distance(spark, d):
 
 @query
 def name_similarity(spark, d):
-    """X8 between the names of parts and their types (no SQL twin: matching blocks)."""
+    """X8 between the names of parts and their types."""
     from attestra.functions.names import with_name_similarity
     p = ad.table(spark, d, "part").selectExpr("p_partkey", "p_name AS document_name", "p_type AS full_name")
     return with_name_similarity(p).select("p_partkey", F.round("name_similarity", 6).alias("name_similarity"))

@@ -577,3 +577,18 @@ SELECT record_id, CASE WHEN NOT early AND sec < bound THEN 'late' ELSE 'scored'
 SQL["stream_rebuild"] = SQL["stream_score"] + " WHERE seq >= (SELECT count(*) // 2 FROM att)"
 SQL["stream_step_up"] = f"""WITH {STEP} SELECT attempt_ref, CASE outcome WHEN 'PASSED' THEN 'PASS' ELSE 'FAIL' END AS step_up_result,
   CASE outcome WHEN 'PASSED' THEN 'ALLOW' ELSE 'BLOCK' END AS decision FROM oc WHERE outcome IN ('PASSED', 'FAILED')"""
+# Matching blocks as a recursion over the texts between blocks; part names are too short for the frequency rule.
+SQL["name_similarity"] = """WITH RECURSIVE p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part),
+rec AS (
+  SELECT p_partkey, a AS s, b AS t, 0 AS got FROM p WHERE a <> '' AND b <> '' AND a <> b
+  UNION ALL
+  SELECT p_partkey, c.s, c.t, c.got FROM (
+    SELECT p_partkey, unnest(CASE WHEN n = 0 THEN [] ELSE [
+      {'s': s[1:i], 't': t[1:instr(t, s[i + 1:i + n]) - 1], 'got': n},
+      {'s': s[i + n + 1:], 't': t[instr(t, s[i + 1:i + n]) + n:], 'got': 0}] END) AS c
+    FROM (SELECT *, best.n AS n, -best.i AS i FROM (
+      SELECT p_partkey, s, t, list_max(list_transform(range(length(s)), lambda i: {
+        'n': coalesce(list_max(list_filter(range(1, length(s) - i + 1), lambda n: instr(t, s[i + 1:i + n]) > 0)), 0),
+        'i': -i})) AS best FROM rec WHERE s <> '' AND t <> ''))))
+SELECT p.p_partkey, round(CASE WHEN a = b THEN 1.0 ELSE 2.0 * m / (length(a) + length(b)) END, 6) AS name_similarity
+FROM p LEFT JOIN (SELECT p_partkey, sum(got) AS m FROM rec GROUP BY 1) g USING (p_partkey)"""

@@ -106,6 +106,14 @@ def test_name_similarity(spark):
     got = [r["name_similarity"] for r in names.with_name_similarity(df).orderBy("i").collect()]
     want = [difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else None for a, b in items]
     assert got == want
+    import random
+    r = random.Random(1)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    pairs = [(text(r.randint(1, 20), "abc é"), text(r.randint(1, 20), "abc é")) for _ in range(60)]
+    # long second texts: frequent characters start no block
+    pairs += [(text(40, "abcdefgh" + "e" * 9), text(230, "abcdefghijklmnopqrst" + "e" * 20)) for _ in range(3)]
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", names.matching_ratio(F.col("a"), F.col("b")))
+    assert all(abs(x - difflib.SequenceMatcher(None, a, b).ratio()) < 1e-12 for a, b, x in found.collect())
 
 
 def test_documents(spark, tmp_path):
