@@ -183,6 +183,8 @@ class PageMaker:
         after = some((self.social, 0.15), (self.comments, 0.35), (self.side, 0.3), (self.advert, 0.25),
                      (self.form, 0.15), (self.notice, 0.12), (self.menu, 0.1), (self.foot, 0.8))
         article = self.article() if self.r.random() > 0.02 else ""
+        if self.r.random() < 0.12:              # a page that is little more than its article
+            before, after = self.r.choice([("", ""), (before, ""), ("", after)])
         if self.r.random() < 0.05:
             article = f"<form>{article}</form>"
         inside = before + article + after
