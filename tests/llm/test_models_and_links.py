@@ -204,6 +204,30 @@ def test_chains_are_optimal_on_small_inputs():
         assert abs(max(value(c.tolist()) for c in chains) - best) < 1e-9
 
 
+def test_single_matches_inside_other_chains_stay():
+    # two seeds of partner 1 stand around the only seed that partner 2 shares
+    an, pos, apos = np.array([1, 2, 1]), np.array([10, 30, 50]), np.array([5, 40, 45])
+    found = passages.document_chains(an, pos, apos, 5, 16, 50, 2)
+    assert sorted(found) == [(1, [10, 50], [5, 45]), (2, [30], [40])]
+
+
+def test_pieces_with_too_many_edits_are_split():
+    good = [b"g%d" % i for i in range(60)]
+    x, y, seeds = list(good), list(good), list(range(0, 56, 5))
+    for i in range(20):                         # five equal words after four substituted ones, again and again
+        seeds.append(len(x) + 4)
+        equal = [b"e%d" % (5 * i + j) for j in range(5)]
+        x += [b"x%d" % (4 * i + j) for j in range(4)] + equal
+        y += [b"y%d" % (4 * i + j) for j in range(4)] + equal
+    found = passages.align(x, y, seeds, seeds, 5, 0.8)
+    assert found and found[0][0] == 0 and found[0][1] >= 60
+    assert all(cost <= 0.2 * max(e - s, qe - qs) for s, e, qs, qe, cost in found)
+    assert {p for s, e, *_ in found for p in range(s, e)} >= {p + j for p in seeds for j in range(5)}
+    # ends that cost too much are shortened, the seeds stay
+    x, y = "a b c d e p q r s t".split(), "a b c d e v q w s z".split()
+    assert passages.align(x, y, [0], [0], 5, 0.9) == [(0, 5, 0, 5, 0)]
+
+
 def test_edit_distance():
     assert passages.edits("a b c d".split(), "a x c".split()) == 2 and passages.edits([], ["a"]) == 1
     assert passages.edits(list("kitten"), list("sitting")) == 3
