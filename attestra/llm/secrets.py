@@ -24,10 +24,13 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "guess")
 
-# A credential word, a separator or "is", and the value: what ASSIGN does not spell out.
-CONTEXT = (r"(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|credentials?|auth(?:orization)?"
-           r"|bearer|private[_ -]?key|access[_ -]?key)\b)"
-           r"""["']?\x20*(?::=|=>|[:=]|\x20(?:is|was|est|ist|es)\x20|\x20)\x20*["']?([^\s"'<>,;]+)""")
+# A credential word, also as a part of a name joined by "_", and what leads from its end to the value. The value is
+# not part of the word's match, so it may itself be a credential word that leads to the next value.
+CONTEXT = (r"(?i:(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\s-]?key|credentials?"
+           r"|auth(?:orization)?|bearer|private[_\s-]?key|access[_\s-]?key)(?![A-Za-z0-9])(?:_[A-Za-z0-9]+)*+"
+           r"(?:[\s-]++key(?![A-Za-z0-9]))*+)")
+VALUE = (r"""["']?(?:\s*+[:=]++>?+\s*+|\s++(?:(?i:is|was|est|ist|es)(?:\s*+[:=]++>?+\s*+|\s++))?+)"""
+         r"""["']?([^\s"'<>,;]+)""")
 WORDS = """password passwd pass secret token key admin root user login welcome letmein qwerty dragon monkey
 master shadow sunshine princess football baseball superman batman iloveyou trustno access hello freedom
 whatever starwars computer michael jennifer jordan hunter soccer summer winter spring autumn love money
@@ -39,6 +42,7 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"}
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"
                   r"|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+_CONTEXT, _VALUE = re.compile(CONTEXT, re.ASCII), re.compile(VALUE, re.ASCII)
 ANY_WORD = math.log10(50_000)
 JOIN = math.log10(2)
 
@@ -47,8 +51,21 @@ def _key_places() -> dict[str, tuple[float, int]]:
     return {c: (x + 0.4 * y, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 
 
-def log10_guesses(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
-    """Price of the cheapest segmentation of ``value``, as a power of ten."""
+def repeats(value: str, i: int) -> list[tuple[int, int]]:
+    """(length, times) of the blocks that are repeated from ``i`` on; multiples inside a repeat are left to it."""
+    out, least = [], 2
+    while 2 * least <= len(value) - i:
+        m = re.compile(r"(.{%d,}?)\1+" % least, re.S).match(value, i)
+        if not m:
+            break
+        size = len(m.group(1))
+        out.append((size, len(m.group()) // size))
+        least = len(m.group()) // 2 + 1
+    return out
+
+
+def log10_guesses(value: str, words: tuple[str, ...] = tuple(WORDS), enough: float = math.inf) -> float:
+    """Price of the cheapest segmentation of ``value``, as a power of ten; from ``enough`` on not the least."""
     n = len(value)
     rank = {w: i + 1 for i, w in enumerate(words)}
     longest = max(map(len, rank), default=0)
@@ -68,8 +85,15 @@ def log10_guesses(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
     def offer(i: int, j: int, price: float) -> None:
         best[j] = min(best[j], best[i] + price + (JOIN if i else 0.0))
 
+    again: dict[int, list[tuple[int, int]]] = {}    # by the end of a first block: what repeats it
     alike = step = walk = 0                     # starts of the runs that end at the current character
     for i in range(n):
+        for size, times in again.pop(i, ()):    # a repeated block costs its block
+            for t in range(2, times + 1):
+                offer(i, i + size * (t - 1), math.log10(t))
+        if best[i] < enough:                    # no way through a dearer place is cheaper
+            for size, times in repeats(value, i):
+                again.setdefault(i + size, []).append((size, times))
         best[i + 1] = min(best[i + 1], best[i] + character(value[i]))
         for j in range(i + 3, min(n, i + longest) + 1):
             for text, extra in ((low[i:j], 0.0), (plain[i:j], 1.0)):
@@ -94,12 +118,6 @@ def log10_guesses(value: str, words: tuple[str, ...] = tuple(WORDS)) -> float:
             offer(step, i + 1, character(value[i]) + math.log10(2 * (i - step + 1)))
         if i - walk >= 3:
             offer(walk, i + 1, math.log10(47) + 0.15 * (i - walk))
-    for m in re.finditer(r"(.{2,}?)\1+", value, re.S):      # a repeated block costs its block
-        if n <= 256 and len(m.group(1)) < n:
-            times = len(m.group()) // len(m.group(1))
-            whole = best[m.start()] + log10_guesses(m.group(1), words) + math.log10(times)
-            if m.start() == 0 and m.end() == n:
-                best[n] = min(best[n], whole)
     if value.isalpha() and value[1:] in (value[1:].lower(), value[1:].upper()):
         best[n] = min(best[n], ANY_WORD)        # one natural word of any language, not a key
     return best[n]
@@ -120,15 +138,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[str, int, int]], limit: float) -> list[tuple[str, int, int]]:
-    """Values in a credential context, clear of the base spans, that cost 10**limit guesses or more."""
+    """Values in a credential context, not inside base spans, that cost 10**limit guesses or more."""
+    found = set()
+    for word in _CONTEXT.finditer(text):
+        m = _VALUE.match(text, word.end())
+        if m:
+            value = m.group(1).rstrip(".!?)]}*#&%$|:")
+            if len(value) >= 6:
+                found.add((m.start(1), m.start(1) + len(value)))
     out = []
-    for m in re.finditer(CONTEXT, text, re.ASCII):
-        value = m.group(1).rstrip(".!?)]}*#&%$|:")
-        start, end = m.start(1), m.start(1) + len(value)
-        kinds = sum(map(bool, (re.search("[0-9]", value), re.search("[a-z]", value), re.search("[A-Z]", value))))
-        if len(value) < 6 or kinds < 2 or any(a < end and start < b for _, a, b in base):
-            continue
-        if log10_guesses(value) >= limit:
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        at = start                              # base spans and an earlier value may hold all of it
+        for _, a, b in base:
+            at = max(at, b) if a <= at else at
+        if at < end and not (out and end <= out[-1][2]) and log10_guesses(text[start:end], enough=limit) >= limit:
             out.append(("guess", start, end))
     return out
 

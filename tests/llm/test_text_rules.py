@@ -1,6 +1,7 @@
 """Quality rules, personal data, secrets and contamination against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -130,6 +131,36 @@ def test_guessed_values_and_redaction(spark):
     assert all(after[i] == texts[i] for i in (1, 2, 3, 5))
 
 
+SECRET = "aK9fQ2mLp7Zx4Vt8"
+
+
+@pytest.mark.parametrize("text, value", [
+    *[(t.replace("@", SECRET), SECRET) for t in (
+        "auth token @", "the secret key: @", "password is: @", "X_PWD=@", "DB_PASSWD => @", "SSH_PRIVATE_KEY=@",
+        "SECRET_KEY_BASE=@", "passphrase\t@", "passphrase:\n@", "password was\n@")],
+    ("Authorization: Bearer eyJhbGciOi9x.Qm4", "eyJhbGciOi9x.Qm4"),
+    ("pwd: kq!x$z&wv@#pt^mz", "kq!x$z&wv@#pt^mz"), ("pwd: correct-horse-battery", "correct-horse-battery"),
+    ("pwd: 85730946286134", "85730946286134"), ("password=abcdef$Kq9!xZ27#m", "abcdef$Kq9!xZ27#m")])
+def test_credential_values_are_priced(text, value):
+    at = text.index(value)
+    found = secrets.guess_spans(text, secrets.base_spans(text), 10.0)
+    assert found == [("guess", at, at + len(value))]
+
+
+def test_values_inside_base_spans_are_not_repeated():
+    text = f"password={SECRET} " + "token" + " " * 50_000 + ";"
+    base = secrets.base_spans(text)
+    assert base == [("assign", 0, 9 + len(SECRET))] and secrets.guess_spans(text, base, 10.0) == []
+
+
+def test_repeated_blocks_are_segments():
+    cost = secrets.log10_guesses
+    assert cost("7xK9#xK9#xK9#q") <= cost("7xK9#") + cost("q") + math.log10(3) + 2 * secrets.JOIN + 1e-9
+    assert cost("xyxyzxyxyz") <= cost("xyxyz") + math.log10(2) + secrets.JOIN + 1e-9
+    assert cost("xK9#" * 100) <= cost("xK9#") + math.log10(100) + secrets.JOIN + 1e-9
+    assert secrets.repeats("ab" * 6 + "c" + "ab" * 6 + "c", 0) == [(2, 6), (13, 2)]
+
+
 BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
