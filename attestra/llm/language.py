@@ -1,6 +1,6 @@
 """Language identification with one bit-sliced Bloom filter for all languages.
 
-The filter is a table of 64-bit masks, one bit for each language. A character n-gram sets its language's
+The filter is a table of masks, one bit for each language in as many 64-bit words as that takes. A character n-gram sets its language's
 bit at a few hashed places; the AND of those places gives all languages that hold the n-gram at once.
 Set bits are counted for each language, counts are corrected for the share of bits that are set by chance,
 and the largest corrected count decides.
@@ -27,7 +27,7 @@ ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 class LanguageFilter(NamedTuple):
     languages: tuple[str, ...]
-    masks: np.ndarray               # 2**bits masks
+    masks: np.ndarray               # 2**bits masks of ceil(languages / 64) words
     bits: int
     hashes: int
     orders: tuple[int, ...]
@@ -85,13 +85,12 @@ def places(h: np.ndarray, bits: int, hashes: int) -> list[np.ndarray]:
 
 def build_filter(grams: dict[str, np.ndarray], bits: int, hashes: int, orders: tuple[int, ...]) -> LanguageFilter:
     languages = tuple(sorted(grams))
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
-    masks = np.zeros(1 << bits, dtype=np.uint64)
+    masks = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), dtype=np.uint64)
     for i, name in enumerate(languages):
         for p in places(grams[name], bits, hashes):
-            masks[p] |= np.uint64(1) << np.uint64(i)
-    full = np.array([float(np.mean((masks >> np.uint64(i)) & np.uint64(1))) for i in range(len(languages))])
+            masks[p, i // 64] |= np.uint64(1) << np.uint64(i % 64)
+    full = np.array([float(np.mean((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)))
+                     for i in range(len(languages))])
     return LanguageFilter(languages, masks, bits, hashes, orders, letter_table(), full ** hashes)
 
 
@@ -106,7 +105,7 @@ def language_counts(text: str, f: LanguageFilter) -> tuple[int, np.ndarray]:
         for p in places(h, f.bits, f.hashes)[1:]:
             seen &= f.masks[p]
         total += len(h)
-        counts += np.array([np.count_nonzero(seen & (np.uint64(1) << np.uint64(i)))
+        counts += np.array([np.count_nonzero(seen[:, i // 64] & (np.uint64(1) << np.uint64(i % 64)))
                             for i in range(len(f.languages))], dtype=np.int64)
     return total, counts
 
@@ -132,12 +131,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     The sample is drawn by a hash of the key. N-grams found in at least ``min_share`` of a language's sampled
     texts, the most widespread ``grams_per_language`` of them, enter the filter unless another language has them
     more than ``1 / min_ratio`` times as often; what reaches the driver is
-    bounded by these parameters and 64 languages.
+    bounded by these parameters and the number of languages.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"),
                            F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("r")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
+    sizes = dict(rows.groupBy("lang").count().collect())
     letters = labelled.sparkSession.sparkContext.broadcast(letter_table())
 
     def grams_of(batches):

@@ -54,6 +54,20 @@ def test_bloom_masks_hold_every_gram():
     assert abs((seen & np.uint64(1)).mean() - f.chance[0]) < 0.005
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    names = [f"l{i:03d}" for i in range(70)]
+    texts = {n: " ".join(chr(0x4E00 + 40 * i + j) * 3 for j in range(20)) for i, n in enumerate(names)}
+    f = language.build_filter({n: np.concatenate(language.gram_hashes(t, language.letter_table(), (3,)))
+                               for n, t in texts.items()}, 16, 3, (3,))
+    assert f.masks.shape == (1 << 16, 2) and all(language.decide(texts[n], f)[0] == n for n in names)
+    rows = spark.createDataFrame([(i, texts[n], n) for i, n in enumerate(names)], "doc_id long, text string, lang string")
+    names_asked = []
+    with pytest.MonkeyPatch.context() as m:     # the n-grams of 70 languages are not needed to see which are learned
+        m.setattr(language, "build_filter", lambda grams, *a: names_asked.extend(grams))
+        language.learn(rows, documents_per_language=1, grams_per_language=1, orders=(3,))
+    assert names_asked == names
+
+
 def test_long_texts_are_cut_without_loss(monkeypatch):
     text = " ".join("kra" * (i % 5 + 1) for i in range(500))
     f = language.build_filter({"k": np.concatenate(language.gram_hashes(text, language.letter_table(), (3, 4)))}, 16, 3, (3, 4))
