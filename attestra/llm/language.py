@@ -3,7 +3,8 @@
 The filter is a table of masks, one bit for each language in as many 64-bit words as that takes. A character n-gram sets its language's
 bit at a few hashed places; the AND of those places gives all languages that hold the n-gram at once.
 Set bits are counted for each language, counts are corrected for the share of bits that are set by chance,
-and the largest corrected count decides.
+and the largest corrected count decides. The score is the share of the text's own n-grams that this language
+explains, whatever the other languages and their number.
 
 Cases: texts that are NULL or have no letter are ``und`` with score 0, and so is every text when nothing
 was learned; equal counts go to the alphabetically first language; rows without a language or text teach
@@ -120,7 +121,7 @@ def decide(text: str | None, f: LanguageFilter) -> tuple[str, float]:
     best = int(np.argmax(true))
     if true[best] <= 0:                         # nothing known in it: the least surprising guess, no confidence
         return f.languages[int(np.argmax(counts))], 0.0
-    return f.languages[best], float(min(1.0, true[best] / true.sum()))
+    return f.languages[best], float(min(1.0, true[best] / total))
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",

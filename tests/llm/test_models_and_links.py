@@ -54,6 +54,18 @@ def test_bloom_masks_hold_every_gram():
     assert abs((seen & np.uint64(1)).mean() - f.chance[0]) < 0.005
 
 
+def test_score_is_the_share_of_the_text_that_is_explained():
+    grams = lambda t: np.concatenate(language.gram_hashes(t, language.letter_table(), (3,)))
+    known = "".join(chr(0x4E00 + i) for i in range(400))
+    few = language.build_filter({"aa": grams(known), "bb": grams(known[::-1])}, 18, 3, (3,))
+    gibberish = "".join(chr(0x6000 + i) for i in range(1000)) + " " + known[:40]
+    assert 0 < language.decide(gibberish, few)[1] < corpus_pipeline.MIN_LANGUAGE_SCORE
+    # related languages share nearly all n-grams: the one with more of them is named, and the text is explained
+    related = {f"r{i}": grams(known[:390 + i]) for i in range(8)}
+    name, score = language.decide(known[:397], language.build_filter(related, 18, 3, (3,)))
+    assert name == "r7" and score > 0.9
+
+
 def test_more_languages_than_bits_of_a_word(spark):
     names = [f"l{i:03d}" for i in range(70)]
     texts = {n: " ".join(chr(0x4E00 + 40 * i + j) * 3 for j in range(20)) for i, n in enumerate(names)}
