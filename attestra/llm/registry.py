@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, html_extract, language, mixture, passages, pii, pseudo_likelihood, quality, secrets, simhash
+from attestra.llm import decontaminate, html_extract, language, mixture, passages, pii, pseudo_likelihood, quality, secrets, simhash, whitening
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -104,3 +104,11 @@ def op10_main_text(spark, sf_dir):
     """Main text of every page."""
     found = html_extract.main_text(table(spark, sf_dir, "pages"))
     return found.select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    """Whitened principal components of every usable embedding."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("doc.vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+                        "whitened", "explained", "identity_error")
