@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestra.llm import decontaminate, html_extract, language, mixture, passages, pii, pseudo_likelihood, quality, secrets, simhash, whitening
+from attestra.llm import decontaminate, html_extract, language, lexical, mixture, passages, pii, preference, pseudo_likelihood, quality, secrets, simhash, whitening
 from attestra.llm.common import table
 from attestra.llm.sql import SQL
 
@@ -112,3 +112,19 @@ def op11_whitening(spark, sf_dir):
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.select("doc.vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
                         "whitened", "explained", "identity_error")
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@query
+def op13_preference(spark, sf_dir):
+    """Quality score of every document, learned from labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = preference.learn(docs, labels.filter(~preference.held_out(F.col("doc_id"))))
+    return preference.rank(docs, model).select(
+        "doc.doc_id", preference.held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted")

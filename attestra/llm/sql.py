@@ -98,3 +98,32 @@ FROM blocked
 """
 
 SQL["op6_mixture"] = "WITH RECURSIVE" + MIXTURE.replace("{documents}", "documents")
+
+SQL["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+         row_number() OVER () AS rid
+  FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, doc_id, n, term, count(*) AS tf
+       FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+b AS (
+  SELECT item_id, row_number() OVER () AS uid,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT uid, item_id, term, count(*) AS times FROM (SELECT uid, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM df, totals),
+scored AS (
+  SELECT uid, item_id, rid, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM q JOIN weights USING (term) JOIN tf USING (term), totals
+  GROUP BY uid, item_id, rid, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
