@@ -5,12 +5,24 @@ task. A component with more rows than ``Skew.cluster_rows`` is cut in time: the
 links is contracted with :func:`attestra.operators.graph.connected`, the second half is rewritten to
 the contracted nodes, and both halves go on independently until every piece is small enough. No
 piece ever depends on how large the component is.
+
+The replay runs once and leaves a *merge forest* behind. A cluster is named after the member whose hashed id is
+smallest, so its name does not depend on how the component was cut. When two clusters meet, the name that loses gets
+the winner as its parent, with the time of the meeting; an identity loses once, and an identity has about
+``2 ln(size)`` ancestors. Times grow towards the root, so two identities are together from
+
+    max(time of u below their lowest common ancestor, time of v below it)
+
+on, and any other common ancestor gives a later time. Questions about "another member that was blocked earlier" are then
+minima over shared ancestors, joins and sums without a replay (:func:`linked_at`).
 """
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from attestra.operators.graph import connected
 from attestra.policy import Skew
@@ -21,7 +33,10 @@ _EVENTS = "comp long, rng long, seq long, t int, a long, b long, x long, y long"
 # meaning of the columns   state: a=node b=size x=lowest blocked y=highest blocked, seq=kind mask
 #                          link:  a, b = nodes, x = kind bit
 #                          attempt: a = node, b = identity, x = 1 if it ended in BLOCK
-_ANSWER = "seq long, vid long, component long, cluster_size long, kind_mask int, linked_blocked boolean"
+# Answers have no parent. Forest rows: vid lost its name to ``parent`` at ``seq``; ``all_above`` if rows for all further
+# ancestors are there too.
+_ANSWER = ("seq long, vid long, component long, cluster_size long, kind_mask int, linked_blocked boolean, parent long,"
+           " all_above boolean")
 
 
 def _replay(events: pd.DataFrame) -> pd.DataFrame:
@@ -31,6 +46,11 @@ def _replay(events: pd.DataFrame) -> pd.DataFrame:
     mask: dict = {}
     low: dict = {}
     high: dict = {}
+    lost: dict = {}             # name -> (time, winner)
+    whole = not len(events) or bool((events["rng"] == 1).all())
+
+    def name_order(n):
+        return zlib.crc32(str(n).encode()), n
 
     def find(n):
         root = n
@@ -52,9 +72,10 @@ def _replay(events: pd.DataFrame) -> pd.DataFrame:
         if t == 1:
             q = find(b)
             if q != r:
-                if size.get(r, 1) < size.get(q, 1):
+                if name_order(q) < name_order(r):
                     r, q = q, r
                 parent[q] = r
+                lost[q] = seq, r, comp
                 size[r] = size.get(r, 1) + size.get(q, 1)
                 mask[r] = mask.get(r, 0) | mask.get(q, 0)
                 if q in high:
@@ -63,12 +84,17 @@ def _replay(events: pd.DataFrame) -> pd.DataFrame:
             mask[r] = mask.get(r, 0) | x
         else:
             blocked = r in high and (low[r] != b or high[r] != b)
-            out.append((seq, b, comp, size.get(r, 1), mask.get(r, 0), blocked))
+            out.append((seq, b, comp, size.get(r, 1), mask.get(r, 0), blocked, None, False))
             if x:
                 low[r], high[r] = min(low.get(r, b), b), max(high.get(r, b), b)
-    names = ["seq", "vid", "component", "cluster_size", "kind_mask", "linked_blocked"]
+    for n, (seq, above, comp) in lost.items():
+        out.append((seq, n, comp, 0, 0, False, above, whole))
+        while whole and above in lost:
+            seq, above, comp = lost[above]
+            out.append((seq, n, comp, 0, 0, False, above, whole))
+    names = ["seq", "vid", "component", "cluster_size", "kind_mask", "linked_blocked", "parent", "all_above"]
     return pd.DataFrame(out, columns=names).astype(
-        dict(zip(names, ("int64", "int64", "int64", "int64", "int32", "bool"))))
+        dict(zip(names, ("int64", "int64", "int64", "int64", "int32", "bool", "Int64", "bool"))))
 
 
 def _split(events: DataFrame, cut: DataFrame) -> DataFrame:
@@ -82,7 +108,11 @@ def _split(events: DataFrame, cut: DataFrame) -> DataFrame:
     state = big.filter("t = 0").select(*key, F.col("a").alias("node"), F.col("b").alias("size"),
                                        F.col("seq").alias("mask"), F.col("x").alias("lo"),
                                        F.col("y").alias("hi"))
-    roots = durable(connected(first.filter("t = 1"), "a", "b", ("comp", "rng")), "contracted")
+    found = durable(connected(first.filter("t = 1"), "a", "b", ("comp", "rng")), "found")
+    # The name of a contracted node is the one the replay of the first half arrives at.
+    names = found.groupBy(*key, "root").agg(F.min_by("node", F.struct(
+        F.crc32(F.col("node").cast("string").cast("binary")).alias("h"), "node")).alias("name"))
+    roots = durable(found.join(names, [*key, "root"]).select(*key, "node", F.col("name").alias("root")), "contracted")
 
     def to_root(df: DataFrame, col: str) -> DataFrame:
         r = roots.select(*key, F.col("node").alias(col), F.col("root").alias("_r"))
@@ -127,14 +157,12 @@ def _split(events: DataFrame, cut: DataFrame) -> DataFrame:
                    .unionByName(right).unionByName(start(at_cut, right, 1)), "pieces")
 
 
-def replay_clusters(rows: DataFrame, links: DataFrame, comps: DataFrame,
-                    skew: Skew = Skew(), at_most: int | None = None) -> DataFrame:
-    """(seq, vid, component, cluster_size, kind_mask, linked_blocked) of the attempts of linked
-    identities.
+def replay(rows: DataFrame, links: DataFrame, comps: DataFrame,
+           skew: Skew = Skew(), at_most: int | None = None) -> DataFrame:
+    """Answers and forest rows (see ``_ANSWER``) of the attempts of linked identities.
 
     ``rows`` has ``seq``, ``vid`` and ``blocked`` (did this attempt end in BLOCK); ``comps`` maps the
-    linked ``vid`` to its ``component``. Identities without links are not in the result; their
-    cluster is themselves. ``at_most`` is a known bound on rows and links together; if that fits one
+    linked ``vid`` to its ``component``. ``at_most`` is a known bound on rows and links together; if that fits one
     piece there is nothing to cut and nothing to look up first.
     """
     c = comps.select(F.col("vid").alias("_v"), F.col("component").alias("comp"))
@@ -167,3 +195,50 @@ def replay_clusters(rows: DataFrame, links: DataFrame, comps: DataFrame,
     pack = F.when(F.col("rng") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.col("comp"))
     return (events.withColumn("pack", pack).groupBy("pack", "rng")
             .applyInPandas(lambda pdf: _replay(pdf), _ANSWER))
+
+
+def replay_clusters(rows: DataFrame, links: DataFrame, comps: DataFrame,
+                    skew: Skew = Skew(), at_most: int | None = None) -> DataFrame:
+    """(seq, vid, component, cluster_size, kind_mask, linked_blocked) of the attempts of linked
+    identities.
+
+    Identities without links are not in the result; their cluster is themselves.
+    """
+    return replay(rows, links, comps, skew, at_most).filter("parent IS NULL").drop("parent", "all_above")
+
+
+def ancestors(replayed: DataFrame, comps: DataFrame) -> DataFrame:
+    """(vid, hub, at): every linked identity with itself and its ancestors in the merge forest; ``at`` is the last order
+    number at which it was not yet below that ancestor.
+
+    Components that were replayed in one piece bring all their rows; only cut ones are joined upwards, one round for
+    each level of their forest.
+    """
+    own = comps.select("vid", F.col("vid").alias("hub"), F.lit(-1).cast("long").alias("at"))
+    forest = replayed.filter("parent IS NOT NULL").select(
+        "vid", F.col("parent").alias("hub"), (F.col("seq") - 1).alias("at"), "all_above")
+    found = own.unionByName(forest.drop("all_above"))
+    cut = forest.filter("NOT all_above").drop("all_above")
+    step = cut.select(F.col("vid").alias("hub"), F.col("hub").alias("above"), F.col("at").alias("later"))
+    frontier = cut
+    while not frontier.isEmpty():
+        frontier = durable(frontier.join(step, "hub").select("vid", F.col("above").alias("hub"), F.col("later").alias("at")), "above")
+        found = found.unionByName(frontier)
+    return found
+
+
+def linked_at(hubs: DataFrame, first_blocks: DataFrame) -> DataFrame:
+    """(vid, at): attempts of the identity after order number ``at`` find another identity in their cluster that was
+    blocked before. ``first_blocks`` has each blocked ``vid`` with the order number ``at`` of its first BLOCK.
+
+    Per ancestor only the two earliest members count, the second for the earliest one itself.
+    """
+    near = hubs.join(first_blocks.select("vid", F.col("at").alias("_b")), "vid").select(
+        "hub", "vid", F.greatest("at", "_b").alias("at"))
+    two = near.withColumn("n", F.row_number().over(W.partitionBy("hub").orderBy("at", "vid"))).filter("n <= 2")
+    best = two.groupBy("hub").agg(
+        F.max(F.when(F.col("n") == 1, F.col("vid"))).alias("who"), F.min("at").alias("one"),
+        F.max(F.when(F.col("n") == 2, F.col("at"))).alias("two"))
+    other = F.when(F.col("who") != F.col("vid"), F.col("one")).otherwise(F.col("two"))
+    return (hubs.join(best, "hub").filter(other.isNotNull())
+            .groupBy("vid").agg(F.min(F.greatest(F.col("at"), other)).alias("at")))

@@ -37,6 +37,7 @@ TEXTS = {
     "CREDENTIAL_FAILED": "Credential check failed",
     "MODEL_RISK": "Model estimates %.0f%% probability of fraud (driven by: %s)",
 }
+# Verdicts inside the cluster texts, and the words that mark an editor in a metadata flag.
 LARGE_VERDICT = "identifiers that should be unique to one person"
 STRONG_VERDICT = "an identifier that should be unique to one person"
 PAIR_VERDICT = "two independent identifiers"
@@ -45,15 +46,33 @@ SMALL_VERDICT = ("a single shared device or address, which households and public
 EDITOR_MARK = "editing software"
 
 
+@dataclass(frozen=True)
+class Earlier:
+    """A dependency on earlier decisions: column ``name`` tells whether at least ``at_least`` earlier attempts with the same
+    value of column ``key`` ended in BLOCK. Attempts without a value have no such history."""
+
+    name: str
+    key: str
+    at_least: int = 1
+
+
+IP, DEVICE = Earlier("ip_flagged", "ip_address"), Earlier("device_flagged", "device_id")
+CLUSTER = Earlier("cluster_has_blocked", "vid")      # of *another* identity in the cluster as of the attempt
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``feedback`` marks rules that read decisions of earlier attempts. Add your own to extend."""
+    """``feedback`` marks rules that read decisions of earlier attempts. Add your own to extend.
+
+    A feedback rule lists in ``needs`` which earlier decisions it reads; its condition uses the columns these name.
+    """
 
     name: str
     when: Column
     text: Column
     feedback: bool = False
     layer: str = "RULE"
+    needs: tuple[Earlier, ...] = ()
 
     def fired(self) -> Column:
         return F.coalesce(self.when, F.lit(False))
@@ -97,8 +116,8 @@ def attribute_rules(p: Policy) -> list[Rule]:
 
 def reputation_rules(p: Policy) -> list[Rule]:
     """R5, R6."""
-    return [Rule("IP_FLAGGED", F.col("ip_flagged"), _text("IP_FLAGGED"), feedback=True),
-            Rule("DEVICE_FLAGGED", F.col("device_flagged"), _text("DEVICE_FLAGGED"), feedback=True)]
+    return [Rule("IP_FLAGGED", F.col("ip_flagged"), _text("IP_FLAGGED"), feedback=True, needs=(IP,)),
+            Rule("DEVICE_FLAGGED", F.col("device_flagged"), _text("DEVICE_FLAGGED"), feedback=True, needs=(DEVICE,))]
 
 
 def association_rules(p: Policy) -> list[Rule]:
@@ -108,11 +127,11 @@ def association_rules(p: Policy) -> list[Rule]:
     return [
         Rule("LINKED_TO_BLOCKED_STRONG", F.col("cluster_has_blocked") & firm,
              F.format_string(TEXTS["LINKED_TO_BLOCKED_STRONG"], kind_names(mask, " and ")),
-             feedback=True),
+             feedback=True, needs=(CLUSTER,)),
         Rule("LINKED_TO_BLOCKED_WEAK", F.col("cluster_has_blocked") & ~firm,
              F.format_string(TEXTS["LINKED_TO_BLOCKED_WEAK"],
                              F.when(mask != 0, kind_names(mask)).otherwise(F.lit("connection"))),
-             feedback=True)]
+             feedback=True, needs=(CLUSTER,))]
 
 
 def feedback_rules(p: Policy) -> list[Rule]:

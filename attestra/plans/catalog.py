@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from attestra.functions import clean, text
 from attestra.operators import (documents, graph, metrics, model as ml, reports, score, stepup, temporal,
                                 validate)
-from attestra.operators.clusters import replay_clusters
+from attestra.operators.clusters import ancestors, linked_at, replay
 from attestra.operators.normalize import attach_forensics, normalize_records, resolve_aliases, to_attempts
 from attestra.operators.ordering import chronological
 from attestra.plans import adapters as ad
 from attestra.plans import jobs
-from attestra.plans.scoring import base_features, ordered, score_attempts, scores, with_feedback
+from attestra.plans.scoring import base_features, dependencies, ordered, score_attempts, scores, with_feedback
 from attestra.policy import Skew
 from attestra.session import durable, scratch_path
 from attestra.sources import readers, writers
@@ -227,11 +227,15 @@ def _asof(spark, d, skew):
         F.col("node").alias("vid"), F.col("root").alias("component"))
     rows = p.select("seq", F.col("claimed_user_ref").alias("identity"),
                     (F.col("decision") == "BLOCK").alias("blocked")).join(vertices, "identity")
-    asof = replay_clusters(rows.select("seq", "vid", "blocked"), links, roots, skew)
+    # The replay sees no decisions; G6 comes from the merge forest.
+    replayed = durable(replay(rows.select("seq", "vid", F.lit(False).alias("blocked")), links, roots, skew), "replayed")
+    first = rows.filter("blocked").groupBy("vid").agg(F.min("seq").alias("at"))
+    linked = linked_at(durable(ancestors(replayed, roots), "hubs"), first)
+    asof = replayed.filter("parent IS NULL").join(linked, "vid", "left")
     return p.select("seq").join(asof, "seq", "left").select(
         "seq", F.coalesce("cluster_size", F.lit(1)).cast("long").alias("cluster_size"),
         F.coalesce("kind_mask", F.lit(0)).cast("long").alias("kind_mask"),
-        F.coalesce(F.col("linked_blocked"), F.lit(False)).cast("long").alias("linked_blocked"))
+        F.coalesce(F.col("at") < F.col("seq"), F.lit(False)).cast("long").alias("linked_blocked"))
 
 
 @query
@@ -252,7 +256,7 @@ def cluster_asof_split(spark, d):
 def score_rules(spark, d):
     """First round of C5: every rule that needs no earlier decision."""
     base = base_features(ordered(ad.attempts_from_orders(spark, d)), ad.ORDER_POLICY)
-    s = scores(with_feedback(base.rows, base, None, Skew()), ad.ORDER_POLICY, None)
+    s = scores(with_feedback(base.rows, None, dependencies()), ad.ORDER_POLICY, None)
     return s.select("record_id", *_long("rule_points", "risk_score"), "decision")
 
 

@@ -1,11 +1,14 @@
 """Score attempts, with decisions feeding back into later scores.
 
-Everything that does not depend on decisions is computed once and written out (``base``). Decisions
-are then a recurrence along the total order: only the first BLOCK of an address, device or cluster
-member matters to later rows, so a round needs a few small aggregates over the blocked rows and one
-narrow pass over ``base``. Starting from "nothing is blocked", the set of blocked rows is recomputed
-until it does not change. A row depends on earlier rows only, so the fixpoint is unique and equal to
-handling the rows one at a time.
+Everything that does not depend on decisions is computed once and written out (``base``). What does depend on them is a handful
+of yes/no columns (was this address, device, another member of the cluster blocked before?), so the decision of a row under
+every combination of them is computed once as well, as a bit mask. Rows whose bits are equal are settled before the first
+round; only *candidates*, rows that can block, are looked at again.
+
+Decisions are a recurrence along the total order: a flag of a row says that its key was blocked before, which is one order number
+for each key. Starting from "nothing is blocked", a round takes the keys whose number changed, visits the undecided rows
+between the old and the new number, and reads their verdict from the mask. It ends when no verdict changes. A row depends on earlier
+rows only, so the fixpoint is unique and equal to handling the rows one at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import logging
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestra.functions.names import name_mismatches
 from attestra.functions.text import address_country, age_at
@@ -31,19 +34,23 @@ NARROW = ("seq", "sec", *KEYS, "login_status")
 logger = logging.getLogger(__name__)
 
 
+MOST_FLAGS = 6                      # verdicts of a row are one bit for each combination of flags, in one long
+
+
 @dataclass
 class Base:
-    """Decision-free part of scoring. ``links`` and ``comps`` cover linked identities only."""
+    """Decision-free part of scoring. ``hubs`` covers linked identities only."""
 
     rows: DataFrame
-    links: DataFrame | None
-    comps: DataFrame | None
-    total: int = 0
+    hubs: DataFrame | None
+
+
+@dataclass
+class Feedback:
+    """The fixpoint: order numbers from which each key counts as blocked, and what each round looked at."""
 
-    @property
-    def most_events(self) -> int:
-        """Bound on cluster events: a row, and a link for each of the four clustering kinds."""
-        return 5 * self.total
+    blocked_from: DataFrame | None              # dep, key, at
+    rounds: list[tuple[int, int]]               # rows visited, verdicts changed
 
 
 def ordered(attempts: DataFrame) -> DataFrame:
@@ -66,22 +73,23 @@ def temporal_features(log: DataFrame, policy: Policy, skew: Skew, total: int | N
     return temporal.document_history(d, hot=hot["document_hash"], skew=skew)
 
 
-def cluster_features(log: DataFrame, skew: Skew, total: int) -> tuple[DataFrame | None, DataFrame | None,
-                                                          DataFrame | None]:
-    """As-of size and kinds of the attempts of linked identities, links, components."""
+def cluster_features(log: DataFrame, skew: Skew, total: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """As-of size and kinds of the attempts of linked identities, and the ancestors of these identities."""
     edges = durable(graph.identity_edges(log, KIND_BITS), "edges")
     vertices = durable(graph.edge_holders(edges), "vertices")
     links = durable(graph.identity_links(edges, vertices), "links")
     if links.isEmpty():
-        return None, None, None
+        return None, None
     roots = graph.connected(links, "vid", "anchor").select(
         F.col("node").alias("vid"), F.col("root").alias("component"))
     comps = durable(vertices.join(roots, "vid"), "components")
     rows = log.select("seq", F.col("claimed_user_ref").alias("identity")) \
               .join(comps.select("identity", "vid"), "identity") \
               .select("seq", "vid", F.lit(False).alias("blocked"))
-    asof = clusters.replay_clusters(rows, links, comps, skew, 5 * total).drop("linked_blocked")
-    return asof, links, comps
+    # A row, and a link for each of the four clustering kinds.
+    replayed = durable(clusters.replay(rows, links, comps, skew, 5 * total), "replayed")
+    return (replayed.filter("parent IS NULL").select("seq", "vid", "component", "cluster_size", "kind_mask"),
+            durable(clusters.ancestors(replayed, comps), "hubs"))
 
 
 def base_features(log: DataFrame, policy: Policy = Policy(), skew: Skew = Skew(),
@@ -90,7 +98,7 @@ def base_features(log: DataFrame, policy: Policy = Policy(), skew: Skew = Skew()
     features = temporal_features(log, policy, skew, total).select(
         "seq", "velocity_ip_count", "velocity_account_spread", "failed_login_count",
         "device_identity_count", "document_reuse_count", "document_other_count")
-    asof, links, comps = cluster_features(log, skew, total)
+    asof, hubs = cluster_features(log, skew, total)
     # All sides are narrow and keyed by seq: the wide rows move once.
     d = log.join(features, "seq")
     if asof is None:
@@ -124,7 +132,7 @@ def base_features(log: DataFrame, policy: Policy = Policy(), skew: Skew = Skew()
     free = [r for r in rules.rule_chain(policy, extra_rules) if not r.feedback]
     d = d.withColumn("free_points", rules.points(free, policy)) \
          .withColumn("free_floor", rules.floor(free, policy))
-    return Base(durable(d, "base"), links, comps, total)
+    return Base(durable(d, "base"), hubs)
 
 
 def _model_features(d: DataFrame) -> DataFrame:
@@ -133,39 +141,36 @@ def _model_features(d: DataFrame) -> DataFrame:
                         .otherwise(F.lit(0.0)))
 
 
-def linked_to_blocked(base: Base, blocks: DataFrame, skew: Skew) -> DataFrame | None:
-    """Attempts whose as-of cluster held another blocked identity. Only components with a
-    blocked attempt are replayed."""
-    if base.comps is None:
-        return None
-    hit = blocks.filter("component IS NOT NULL").select("component").distinct()
-    comps = base.comps.join(hit, "component", "left_semi")
-    rows = base.rows.select("seq", "vid", "component").filter("component IS NOT NULL") \
-        .join(hit, "component", "left_semi") \
-        .join(blocks.select("seq", F.lit(True).alias("blocked")), "seq", "left") \
-        .select("seq", "vid", F.coalesce("blocked", F.lit(False)).alias("blocked"))
-    links = base.links.join(comps.select("vid"), "vid", "left_semi")
-    return clusters.replay_clusters(rows, links, comps, skew, base.most_events) \
-        .filter("linked_blocked").select("seq")
-
-
-def with_feedback(rows: DataFrame, base: Base, blocks: DataFrame | None, skew: Skew) -> DataFrame:
-    """T8, T9 and G6 as of each row, given which rows are blocked."""
-    names = ("ip_flagged", "device_flagged", "cluster_has_blocked")
-    if blocks is None:
-        return rows.withColumns({n: F.lit(False) for n in names})
-    d = temporal.ip_flagged(rows, blocks)
-    d = temporal.device_flagged(d, blocks)
-    linked = linked_to_blocked(base, blocks, skew)
-    if linked is None:
-        return d.withColumn("cluster_has_blocked", F.lit(False))
-    return d.join(linked.withColumn("cluster_has_blocked", F.lit(True)), "seq", "left").withColumn(
-        "cluster_has_blocked", F.coalesce("cluster_has_blocked", F.lit(False)))
-
-
-def scores(d: DataFrame, policy: Policy, model) -> DataFrame:
+def dependencies(extra_rules: Iterable[rules.Rule] = ()) -> list[rules.Earlier]:
+    """The earlier decisions that rules read, built-in ones first."""
+    needs = [rules.IP, rules.DEVICE, rules.CLUSTER]
+    for r in extra_rules:
+        if r.feedback and not r.needs:
+            raise ValueError(f"{r.name} reads earlier decisions: say which in needs")
+        needs += [n for n in r.needs if n not in needs]
+    if len({n.name for n in needs}) < len(needs):
+        raise ValueError("two dependencies have the same name")
+    if len(needs) > MOST_FLAGS:
+        raise ValueError(f"at most {MOST_FLAGS} dependencies on earlier decisions, built-in ones included")
+    return needs
+
+
+def with_feedback(rows: DataFrame, blocked_from: DataFrame | None, needs: list[rules.Earlier]) -> DataFrame:
+    """T8, T9, G6 and added dependencies as of each row: a flag is set from the key's order number on."""
+    for i, n in enumerate(needs):
+        if blocked_from is None:
+            rows = rows.withColumn(n.name, F.lit(False))
+            continue
+        kept = [c for c in rows.columns if c != n.name]
+        at = blocked_from.filter(F.col("dep") == i).select(F.col("key").cast(rows.schema[n.key].dataType).alias(n.key), "at")
+        rows = rows.join(at, n.key, "left").withColumn(n.name, F.coalesce(F.col("at") < F.col("seq"), F.lit(False))) \
+                   .select(*kept, n.name)
+    return rows
+
+
+def scores(d: DataFrame, policy: Policy, model, extra_rules: Iterable[rules.Rule] = ()) -> DataFrame:
     """Points, probability, score and decision of rows that carry their feedback columns."""
-    back = rules.feedback_rules(policy)
+    back = [*rules.feedback_rules(policy), *[r for r in extra_rules if r.feedback]]
     d = d.withColumn("rule_points", (F.col("free_points") + rules.points(back, policy)).cast("int")) \
          .withColumn("_floor", F.greatest("free_floor", rules.floor(back, policy)))
     if model is None:
@@ -182,50 +187,108 @@ def scores(d: DataFrame, policy: Policy, model) -> DataFrame:
             .drop("_floor")
 
 
-def _blocks(base: Base, prior: DataFrame | None, policy: Policy, model, skew: Skew) -> DataFrame:
-    wanted = ["seq", "ip_address", "device_id", "vid", "component", "free_points", "free_floor",
-              "cluster_identity_count", "kind_mask"]
-    if "fixed_decision" in base.rows.columns:
-        wanted.append("fixed_decision")
-    if model is not None:
-        wanted += [c for c in ("velocity_ip_count", "velocity_account_spread", "failed_login_count",
-                               "device_identity_count", "attribute_flags", "cluster_binding_kinds",
-                               "document_reuse_count", "ela_score", "metadata_flag", "liveness_failed",
-                               "credential_failed", "has_forensics")]
-    d = with_feedback(base.rows.select(*wanted), base, prior, skew)
-    return durable(scores(d, policy, model).filter(F.col("decision") == BLOCK).select(
-        "seq", "ip_address", "device_id", "vid", "component", "decision"), "blocks")
-
-
-def fixpoint(base: Base, policy: Policy = Policy(), model=None, skew: Skew = Skew()
-             ) -> tuple[DataFrame | None, int]:
-    """The blocked rows once no decision changes any more, and the number of rounds it took."""
-    prior, prior_n, round_no = None, 0, 0
+def candidates(base: Base, policy: Policy, model, needs: list[rules.Earlier], extra_rules: list[rules.Rule]) -> DataFrame:
+    """Rows that can end in BLOCK: ``mask`` has a bit for each combination of flags, ``settled`` if they block whatever the flags.
+
+    Combinations with a flag that the row cannot have, for want of a key, do not count. The combinations of a row are put together
+    again before anything is shuffled.
+    """
+    wanted = set(needs_columns(base.rows, needs, model, extra_rules))
+    d = base.rows.select(*[c for c in base.rows.columns if c in wanted],
+                         F.explode(F.sequence(F.lit(0), F.lit((1 << len(needs)) - 1))).alias("_f"))
+    flags = {n.name: F.col("_f").bitwiseAND(1 << i) != 0 for i, n in enumerate(needs)}
+    for n in needs:
+        d = d.filter(~flags[n.name] | F.col(n.key).isNotNull())
+    d = scores(d.withColumns(flags), policy, model, extra_rules).withColumn("_b", F.col("decision") == BLOCK)
+    return d.groupBy("seq", *dict.fromkeys(n.key for n in needs)).agg(
+        F.bit_or(F.expr("if(_b, shiftleft(1L, _f), 0L)")).alias("mask"), F.bool_and("_b").alias("settled"),
+        F.bool_or("_b").alias("some")).filter("some").drop("some")
+
+
+def needs_columns(rows: DataFrame, needs: list[rules.Earlier], model, extra_rules: list[rules.Rule]) -> list[str]:
+    """Columns of ``rows`` that decide: all of them if added rules or a model may read them, else a few narrow ones."""
+    if model is not None or extra_rules:
+        return rows.columns
+    return ["seq", *[n.key for n in needs], "free_points", "free_floor", "cluster_identity_count", "kind_mask",
+            *[c for c in ("fixed_decision",) if c in rows.columns]]
+
+
+def _blocked_from(blocks: DataFrame, needs: list[rules.Earlier], hubs: DataFrame | None) -> DataFrame:
+    """(dep, key, at) from the blocked rows in long form: the order number of the block that sets the flag."""
+    plain = F.lit(False)
+    for i, n in enumerate(needs):
+        if n.at_least == 1 and n.key != "vid":
+            plain = plain | (F.col("dep") == i)
+    out = blocks.filter(plain).groupBy("dep", "key").agg(F.min("seq").alias("at"))
+    for i, n in enumerate(needs):
+        own = blocks.filter(F.col("dep") == i)
+        if n.at_least > 1:
+            nth = own.withColumn("n", F.row_number().over(W.partitionBy("dep", "key").orderBy("seq"))) \
+                .filter(F.col("n") <= n.at_least).groupBy("dep", "key").agg(F.max("seq").alias("at"), F.count("*").alias("n"))
+            out = out.unionByName(nth.filter(F.col("n") == n.at_least).drop("n"))
+        elif n.key == "vid" and hubs is not None:
+            first = own.groupBy(F.col("key").cast("long").alias("vid")).agg(F.min("seq").alias("at"))
+            out = out.unionByName(clusters.linked_at(hubs, first).select(
+                F.lit(i).alias("dep"), F.col("vid").cast("string").alias("key"), "at"))
+    return out
+
+
+def fixpoint(base: Base, policy: Policy = Policy(), model=None,
+             extra_rules: Iterable[rules.Rule] = ()) -> Feedback:
+    """The keys' order numbers once no decision changes any more."""
+    extra_rules = list(extra_rules)
+    needs = dependencies(extra_rules)
+    keys = F.array(*[F.struct(F.lit(i).alias("dep"), F.col(n.key).cast("string").alias("key")) for i, n in enumerate(needs)])
+    rows = durable(candidates(base, policy, model, needs, extra_rules).select(
+        "seq", "mask", "settled", (F.col("settled") | (F.col("mask").bitwiseAND(1) != 0)).alias("blocked"), F.explode(keys).alias("k"))
+        .select("seq", "mask", "settled", "blocked", "k.dep", "k.key").filter("key IS NOT NULL"), "candidates")
+    # Settled rows are summed up once; a key needs no more of their blocks than its rule counts.
+    open_rows = rows.filter("NOT settled")
+    most = max(n.at_least for n in needs)
+    fixed = rows.filter("settled").select("seq", "dep", "key")
+    if most == 1:
+        fixed = fixed.groupBy("dep", "key").agg(F.min("seq").alias("seq"))
+    else:
+        fixed = fixed.withColumn("n", F.row_number().over(W.partitionBy("dep", "key").orderBy("seq"))) \
+                     .filter(F.col("n") <= most).drop("n")
+    fixed = durable(fixed, "settled")
+    rounds: list[tuple[int, int]] = []
+    before = None
+    far = F.lit(2 ** 63 - 1)
     while True:                     # each round settles at least the next row, so this ends
-        round_no += 1
-        now = _blocks(base, prior, policy, model, skew)
-        n = now.count()
-        same = n == prior_n and (n == 0 or now.join(prior, "seq", "left_anti").isEmpty())
-        if same:
-            return prior, round_no
-        logger.info("round %d: %d blocked", round_no, n)
-        prior, prior_n = (now, n) if n else (None, 0)
+        blocks = fixed.select("seq", "dep", "key").unionByName(open_rows.filter("blocked").select("seq", "dep", "key"))
+        now = durable(_blocked_from(blocks, needs, base.hubs), "blocked")
+        old = now.filter("false") if before is None else before
+        changed = now.join(old.withColumnRenamed("at", "was"), ["dep", "key"], "full_outer").filter("NOT at <=> was").select(
+            "dep", "key", F.least(F.coalesce("at", far), F.coalesce("was", far)).alias("low"),
+            F.greatest(F.coalesce("at", far), F.coalesce("was", far)).alias("high"))
+        touched = open_rows.join(changed, ["dep", "key"]).filter("seq > low AND seq <= high").select("seq").distinct()
+        visited = durable(open_rows.join(touched, "seq", "left_semi").join(now, ["dep", "key"], "left").groupBy("seq").agg(
+            F.bit_or(F.expr("if(at < seq, shiftleft(1, dep), 0)")).alias("flags"), F.first("mask").alias("mask"),
+            F.first("blocked").alias("blocked")).select(
+                "seq", "blocked", F.expr("(shiftright(mask, flags) & 1) = 1").alias("verdict")), "visited")
+        moved = visited.filter("verdict <> blocked").select("seq", "verdict")
+        seen = visited.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") != F.col("blocked")).alias("moved")).first()
+        rounds.append((seen["n"], seen["moved"]))
+        logger.info("round %d: %d rows visited, %d verdicts changed", len(rounds), *rounds[-1])
+        if not seen["moved"]:
+            return Feedback(now, rounds)
+        before = now
+        open_rows = durable(open_rows.join(moved, "seq", "left").withColumn("blocked", F.coalesce("verdict", "blocked"))
+                            .drop("verdict"), "candidates")
 
 
 def score_ordered(log: DataFrame, policy: Policy = Policy(), model=None, skew: Skew = Skew(),
                   extra_rules: Iterable[rules.Rule] = ()) -> DataFrame:
     """Score rows that already have ``seq``. One output row per input row."""
     extra_rules = list(extra_rules)
-    if any(r.feedback for r in extra_rules):
-        raise ValueError("added rules must not read earlier decisions")
+    needs = dependencies(extra_rules)
     base = base_features(log, policy, skew, extra_rules)
-    blocks, _ = fixpoint(base, policy, model, skew)
-    if blocks is None:
-        d = with_feedback(base.rows, base, None, skew)
-    else:
-        flags = with_feedback(base.rows.select("seq", "ip_address", "device_id"), base, blocks, skew)
-        d = base.rows.join(flags.drop("ip_address", "device_id"), "seq")
-    d = scores(d, policy, model)
+    found = fixpoint(base, policy, model, extra_rules)
+    keys = list(dict.fromkeys(n.key for n in needs))
+    flags = with_feedback(base.rows.select("seq", *keys), found.blocked_from, needs)
+    d = base.rows.join(flags.drop(*keys), "seq")
+    d = scores(d, policy, model, extra_rules)
     # Who presented a document before does not depend on decisions: the feedback joins stay out of this.
     reused = base.rows.filter("has_forensics AND document_other_count > 0").select(
         "seq", "document_hash", "claimed_user_ref")

@@ -24,9 +24,14 @@ def cluster_of(who, rows):
     return members, {k for (k, _), ids in holders.items() if len(ids) > 1}
 
 
-def replay(rows, velocity=60, window=300):
-    """``rows`` in scoring order -> per row (features dict, fired rule names, score, decision)."""
+def replay(rows, velocity=60, window=300, added=()):
+    """``rows`` in scoring order -> per row (features dict, fired rule names, score, decision).
+
+    ``added``: (rule, points, key, least number of earlier blocks with the same key).
+    """
     past, bad_ip, bad_dev, bad_id, out = [], set(), set(), set(), []
+    counts = {}
+    given = {**RULE_POINTS, **{name: points for name, points, *_ in added}}
     for r in rows:
         f, fired = {}, []
 
@@ -76,7 +81,9 @@ def replay(rows, velocity=60, window=300):
             reuse = len(set(shown))
             fire("DOCUMENT_REUSE", r["id"] and set(shown) - {r["id"]})
         fire("CREDENTIAL_FAILED", r["login"] == "FAIL")
-        points = sum(RULE_POINTS[n] for n in fired)
+        for name, _, key, least in added:
+            fire(name, r[key] and counts.get((key, r[key]), 0) >= least)
+        points = sum(given[n] for n in fired)
         score = max([points] + [SCORE_FLOORS[n] for n in fired if n in SCORE_FLOORS])
         score = min(100, score)
         decision = "BLOCK" if score >= 70 else "STEP_UP" if score >= 30 else "ALLOW"
@@ -84,6 +91,8 @@ def replay(rows, velocity=60, window=300):
             bad_ip |= {r["ip"]} - {None}
             bad_dev |= {r["device_id"]} - {None}
             bad_id |= {r["id"]} - {None}
+            for key in {k for _, _, k, _ in added}:
+                counts[(key, r[key])] = counts.get((key, r[key]), 0) + 1
         f.update(velocity_ip_count=v, velocity_account_spread=spread, failed_login_count=failed,
                  device_identity_count=dev, cluster_identity_count=size, cluster_binding_kinds=len(kinds),
                  cluster_has_blocked=int(near_block), document_reuse_count=reuse)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import graph, temporal
+from attestra.operators import clusters
 from attestra.operators.clusters import replay_clusters
 from attestra.operators.ordering import chronological, dense_rank_in_order
 from attestra.operators.skew import hot_values
@@ -83,6 +84,13 @@ def test_asof_clusters(spark, data, cap):
         .join(vertices, "identity")
     got = {r["seq"]: r for r in replay_clusters(who, links, roots, Skew(cluster_rows=cap)).collect()}
     assert len(got) > 50
+    # The merge forest answers the same question without a replay.
+    replayed = clusters.replay(who.withColumn("blocked", F.lit(False)), links, roots, Skew(cluster_rows=cap)).cache()
+    hubs = clusters.ancestors(replayed, roots).cache()
+    first = who.filter("blocked").groupBy("vid").agg(F.min("seq").alias("at"))
+    linked = {r["vid"]: r["at"] for r in clusters.linked_at(hubs, first).collect()}
+    one_each = hubs.groupBy("vid", "hub").count().filter("count > 1")
+    assert one_each.isEmpty() and hubs.groupBy("vid").count().agg(F.max("count")).first()[0] > 2
     for r in rows:
         if not r["id"]:
             continue
@@ -91,6 +99,8 @@ def test_asof_clusters(spark, data, cap):
         g = got.get(r["seq"])
         have = (g["cluster_size"], bin(g["kind_mask"]).count("1"), g["linked_blocked"]) if g else (1, 0, False)
         assert have == (len(members), len(kinds), bool((members & bad) - {r["id"]})), r["seq"]
+        assert bool(g) and linked.get(g["vid"], r["seq"]) < r["seq"] or not have[2], r["seq"]
+        assert have[2] or not g or not linked.get(g["vid"], r["seq"]) < r["seq"], r["seq"]
 
 
 def test_total_order(spark):
