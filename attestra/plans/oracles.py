@@ -473,11 +473,11 @@ SQL["read_csv"] = f"WITH {CANON} SELECT * FROM canon"
 SQL["read_jsonl"] = f"""WITH {CANON} SELECT record_id, CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN NULL ELSE claimed_user_ref END AS claimed_user_ref,
   CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN -1 ELSE sec END AS sec,
   CASE WHEN record_id % 20 = 3 OR record_id % 30 = 4 THEN NULL ELSE label_category END AS label_category,
-  CASE WHEN record_id % 20 = 3 THEN 'line is not valid JSON' WHEN record_id % 30 = 4 THEN 'record is not an object/row of fields'
+  CASE WHEN record_id % 20 = 3 THEN printf('line %d is not valid JSON', 2 * record_id + 1) WHEN record_id % 30 = 4 THEN 'record is not an object/row of fields'
     ELSE error END AS error FROM canon"""
-SQL["read_json"] = f"""WITH {CANON}, j AS (SELECT *, CASE WHEN record_id % 50 = 0 THEN NULL ELSE (SELECT 'C' || c FROM raw WHERE raw.record_id = canon.record_id) END AS who FROM canon)
-SELECT who AS claimed_user_ref, count(*) AS n, count(*) FILTER (sec >= 0) AS timed, count(*) FILTER (login_status = 'PASS') AS passed,
-  count(*) FILTER (who IS NULL) AS errors FROM j GROUP BY who"""
+# Five files one after the other, each in key order.
+SQL["read_json"] = f"""WITH {CANON}, j AS (SELECT *, row_number() OVER (ORDER BY record_id % 5, record_id) - 1 AS pos FROM canon)
+SELECT * EXCLUDE (record_id, pos, attempt_ref), pos AS record_id, printf('EVAL-%06d', pos) AS attempt_ref FROM j"""
 SQL["parse_timestamp"] = """SELECT event_id, CASE event_id % 9 WHEN 3 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT)
   WHEN 6 THEN CAST(floor(epoch(ts)) AS BIGINT) - 14400 WHEN 7 THEN -1 WHEN 8 THEN -1 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS sec FROM events"""
 SQL["normalize_status"] = """WITH r AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'YES' WHEN 1 THEN '0' WHEN 2 THEN event_type WHEN 3 THEN NULL
