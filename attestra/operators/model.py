@@ -8,6 +8,7 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssemble
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from attestra.operators.forest import Forest, fraud_share
 from attestra.schema import FEATURES
 
 LEGITIMATE = "LEGITIMATE"
@@ -62,11 +63,13 @@ def model_labels(model: PipelineModel) -> list[str]:
     return list(_parts(model)[0].labels)
 
 
-def fraud_probability(df: DataFrame, model: PipelineModel | None,
+def fraud_probability(df: DataFrame, model: PipelineModel | Forest | None,
                       out: str = "ml_probability") -> DataFrame:
     """L3: 1 - P(LEGITIMATE), or the highest class probability if there is no such class."""
     if model is None:
         return df.withColumn(out, F.lit(None).cast("double"))
+    if isinstance(model, Forest):
+        return df.withColumn(out, fraud_share(model))
     _, assembler, forest = _parts(model)
     labels = model_labels(model)
     scored = forest.transform(assembler.transform(
@@ -90,12 +93,13 @@ def predicted_label(df: DataFrame, model: PipelineModel, out: str = "prediction"
     return scored.withColumn("_p", best).select(*df.columns, F.col("_p").alias(out))
 
 
-def contributors(model: PipelineModel | None, top: int = 5) -> Column:
+def contributors(model: PipelineModel | Forest | None, top: int = 5) -> Column:
     """L4: features present in the attempt by importance x value, highest first."""
     kind = "array<struct<name:string,weight:double>>"
     if model is None:
         return F.array().cast(kind)
-    weights = _parts(model)[2].featureImportances.toArray().tolist()
+    weights = (list(model.importances) if isinstance(model, Forest)
+               else _parts(model)[2].featureImportances.toArray().tolist())
     pairs = F.array(*[
         F.struct((-F.lit(w) * F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias("w"),
                  F.lit(i).alias("i"), F.lit(n).alias("name"),

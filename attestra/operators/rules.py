@@ -110,7 +110,7 @@ def attribute_rules(p: Policy) -> list[Rule]:
              _text("PHONE_RESIDENCE_MISMATCH", country)),
         Rule("DISPOSABLE_EMAIL", domain.isin(*p.disposable_domains), _text("DISPOSABLE_EMAIL", domain)),
         Rule("NAME_MISMATCH_DOCUMENT", sim < p.name_similarity,
-             _text("NAME_MISMATCH_DOCUMENT", sim * 100)),
+             _text("NAME_MISMATCH_DOCUMENT", F.bround(sim * 100, 0))),     # half-even, as scores are
     ]
 
 
@@ -192,7 +192,7 @@ def rule_chain(p: Policy, extra: Iterable[Rule] = ()) -> list[Rule]:
 def model_rule() -> Rule:
     """Context only, no points; present when a probability is."""
     return Rule("MODEL_RISK", F.col("ml_probability").isNotNull(),
-                _text("MODEL_RISK", F.col("ml_probability") * 100,
+                _text("MODEL_RISK", F.bround(F.col("ml_probability") * 100, 0),
                       F.when(F.length("ml_drivers") > 0, F.col("ml_drivers")).otherwise(F.lit("n/a"))),
                 layer="MODEL")
 

@@ -276,6 +276,27 @@ def score_with_feedback(spark, d):
         score.classify_attack(r, F.col("decision"), ad.ORDER_POLICY).alias("predicted_attack"))
 
 
+def order_forest():
+    """Three fixed trees; a flagged address speaks for a shared one in the second, so flags can lower a score too."""
+    from attestra.operators.forest import Forest
+    return Forest(("CREDENTIAL_STUFFING", "LEGITIMATE"), (
+        ("failed_login_count", 2.5, ("cluster_binding_kinds", 0.5, (0.125, 0.875), (0.375, 0.625)),
+         ("cluster_has_blocked", 0.5, (0.5, 0.5), (0.9375, 0.0625))),
+        ("ip_flagged", 0.5, ("velocity_ip_count", 4.5, (0.25, 0.75), (0.875, 0.125)), ("device_flagged", 0.5, (0.0625, 0.9375), (1.0, 0.0))),
+        ("attribute_flags", 0.5, ("device_identity_count", 1.5, (0.0, 1.0), (0.25, 0.75)), ("ela_score", 6.0, (0.625, 0.375), (1.0, 0.0)))),
+        (0.17, 0.02, 0.19, 0.13, 0.05, 0.11, 0.07, 0.01, 0.06, 0.12, 0.03, 0.004, 0.008, 0.016, 0.012))
+
+
+@query
+def score_with_model(spark, d):
+    """C3, R23 and C5 with a model: blended scores through the decision feedback."""
+    s = score_attempts(ad.attempts_from_orders(spark, d), ad.ORDER_POLICY, order_forest())
+    r = F.col("reasons")
+    return s.select("record_id", *_long("rule_points", "risk_score"), F.round("ml_probability", 6).alias("probability"), "decision",
+                    F.array_join(F.transform(r, lambda x: x["rule"]), ";").alias("rules"),
+                    F.element_at(r, -1)["description"].alias("model_text"))
+
+
 @query
 def feature_vector(spark, d):
     """C1 of every attempt after feedback."""

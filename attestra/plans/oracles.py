@@ -222,8 +222,26 @@ _CATS = {
 ROUNDS = 14
 
 
-def _round(k: int) -> str:
+# The 15 features in fixed order over base b and flags f, the three trees of the model query, and their driver weights.
+_FEATURE = [
+    ("velocity ip count", "v"), ("velocity account spread", "spread"), ("failed login count", "failed"), ("ip flagged", "CAST(ipf AS INT)"),
+    ("device identity count", "devs"), ("device flagged", "CAST(devf AS INT)"),
+    ("attribute flags", "CAST(coalesce(age < 16 OR age > 100, false) AS INT) + CAST(phone IS NOT NULL AND coalesce(country = 'India', false) AS INT)"
+     " + CAST(email LIKE '%@YOPMAIL.com' AS INT)"),
+    ("cluster identity count", "size"), ("cluster binding kinds", "kinds"), ("cluster has blocked", "CAST(lnk AS INT)"),
+    ("document reuse count", "CASE WHEN doc IS NULL THEN 0 ELSE reuse END"), ("ela score", "coalesce(ela, 0)"), ("metadata flag", "0"),
+    ("liveness failed", "CAST(liveness = 'FAIL' AS INT)"), ("credential failed", "CAST(login = 'FAIL' AS INT)")]
+_WEIGHT = (0.17, 0.02, 0.19, 0.13, 0.05, 0.11, 0.07, 0.01, 0.06, 0.12, 0.03, 0.004, 0.008, 0.016, 0.012)
+_LEGIT = f"""((CASE WHEN failed <= 2.5 THEN CASE WHEN kinds <= 0.5 THEN 0.875 ELSE 0.625 END ELSE CASE WHEN NOT lnk THEN 0.5 ELSE 0.0625 END END
+  + CASE WHEN NOT ipf THEN CASE WHEN v <= 4.5 THEN 0.75 ELSE 0.125 END ELSE CASE WHEN NOT devf THEN 0.9375 ELSE 0.0 END END
+  + CASE WHEN {_FEATURE[6][1]} = 0 THEN CASE WHEN devs <= 1 THEN 1.0 ELSE 0.75 END
+    ELSE CASE WHEN coalesce(ela, 0) <= 6.0 THEN 0.375 ELSE 0.0 END END)::DOUBLE / 3.0::DOUBLE)"""
+_BLEND = f"CAST(round_even(greatest(0.7::DOUBLE * pts + 0.3::DOUBLE * (1.0::DOUBLE - {_LEGIT}) * 100.0::DOUBLE, {{floor}}), 0) AS INT)"
+
+
+def _round(k: int, model: bool = False) -> str:
     """Round k: flags from the blocks of round k - 1, then points and decision."""
+    raw = _BLEND.format(floor=_FLOOR) if model else f"greatest(pts, {_FLOOR})"
     if k == 0:
         flags = "SELECT *, false AS ipf, false AS devf, false AS lnk FROM base"
     else:
@@ -234,7 +252,7 @@ def _round(k: int) -> str:
   LEFT JOIN (SELECT DISTINCT reach.seq FROM reach JOIN (SELECT identity, min(seq) AS s FROM r{k - 1}
     WHERE decision = 'BLOCK' GROUP BY identity) b ON b.identity = dst AND dst <> src AND b.s < reach.seq) l USING (seq)"""
     return f"""r{k} AS MATERIALIZED (SELECT *, CASE WHEN score >= 70 THEN 'BLOCK' WHEN score >= 30 THEN 'STEP_UP'
-  ELSE 'ALLOW' END AS decision FROM (SELECT *, least(100, greatest(pts, {_FLOOR})) AS score
+  ELSE 'ALLOW' END AS decision FROM (SELECT *, least(100, {raw}) AS score
   FROM (SELECT *, {_POINTS} AS pts FROM ({flags}))))"""
 
 
@@ -245,6 +263,15 @@ _SUMS = ", ".join(f"{' + '.join(f'CASE WHEN {c} THEN {p} ELSE 0 END' for _, p, c
                   for name, rs in _CATS.items())
 _RANKED = "[" + ", ".join(f"CASE WHEN {c} THEN {{'p': -{p}, 'i': {i}, 'n': '{n}'}} END"
                           for i, (n, p, c) in enumerate(RULES)) + "]"
+_DRIVERS = "[" + ", ".join(f"CASE WHEN {x} > 0 THEN {{'w': -{w}::DOUBLE * ({x})::DOUBLE, 'i': {i}, 'n': '{n}'}} END"
+                           for i, ((n, x), w) in enumerate(zip(_FEATURE, _WEIGHT))) + "]"
+MODEL_ROUNDS = 20
+SQL["score_with_model"] = f"""WITH RECURSIVE {FEATURES}, {", ".join(_round(k, True) for k in range(MODEL_ROUNDS + 1))},
+m AS (SELECT *, 1.0::DOUBLE - {_LEGIT} AS p, coalesce(nullif(array_to_string(list_transform(list_sort(list_filter({_DRIVERS},
+  lambda x: x IS NOT NULL))[1:3], lambda x: x.n), ', '), ''), 'n/a') AS drivers FROM r{MODEL_ROUNDS})
+SELECT record_id, CAST(pts AS BIGINT) AS rule_points, CAST(score AS BIGINT) AS risk_score, round(p, 6) AS probability, decision,
+  concat_ws(';', nullif({_NAMES}, ''), 'MODEL_RISK') AS rules,
+  printf('Model estimates %.0f%% probability of fraud (driven by: %s)', p * 100, drivers) AS model_text FROM m"""
 SQL["score_rules"] = f"""WITH RECURSIVE {FEATURES}, {_round(0)} SELECT record_id, CAST(pts AS BIGINT) AS rule_points,
   CAST(score AS BIGINT) AS risk_score, decision FROM r0"""
 SQL["score_with_feedback"] = f"""{_ALL} SELECT record_id, seq, CAST(pts AS BIGINT) AS rule_points,

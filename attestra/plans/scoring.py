@@ -263,19 +263,19 @@ def fixpoint(base: Base, policy: Policy = Policy(), model=None,
             "dep", "key", F.least(F.coalesce("at", far), F.coalesce("was", far)).alias("low"),
             F.greatest(F.coalesce("at", far), F.coalesce("was", far)).alias("high"))
         touched = open_rows.join(changed, ["dep", "key"]).filter("seq > low AND seq <= high").select("seq").distinct()
-        visited = durable(open_rows.join(touched, "seq", "left_semi").join(now, ["dep", "key"], "left").groupBy("seq").agg(
-            F.bit_or(F.expr("if(at < seq, shiftleft(1, dep), 0)")).alias("flags"), F.first("mask").alias("mask"),
-            F.first("blocked").alias("blocked")).select(
-                "seq", "blocked", F.expr("(shiftright(mask, flags) & 1) = 1").alias("verdict")), "visited")
-        moved = visited.filter("verdict <> blocked").select("seq", "verdict")
-        seen = visited.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") != F.col("blocked")).alias("moved")).first()
+        verdicts = open_rows.join(touched, "seq", "left_semi").join(now, ["dep", "key"], "left").groupBy("seq").agg(
+            F.bit_or(F.expr("if(at < seq, shiftleft(1, dep), 0)")).alias("flags"), F.first("mask").alias("mask")).select(
+                "seq", F.expr("(shiftright(mask, flags) & 1) = 1").alias("verdict"))
+        after = durable(open_rows.join(verdicts, "seq", "left"), "candidates")
+        new = F.when(F.col("verdict") != F.col("blocked"), F.col("seq"))
+        seen = after.groupBy("seq").agg(F.max("verdict").alias("verdict"), F.max(new.isNotNull()).alias("moved")).agg(
+            F.count("verdict").alias("n"), F.count_if("moved").alias("moved")).first()
         rounds.append((seen["n"], seen["moved"]))
         logger.info("round %d: %d rows visited, %d verdicts changed", len(rounds), *rounds[-1])
         if not seen["moved"]:
             return Feedback(now, rounds)
         before = now
-        open_rows = durable(open_rows.join(moved, "seq", "left").withColumn("blocked", F.coalesce("verdict", "blocked"))
-                            .drop("verdict"), "candidates")
+        open_rows = after.withColumn("blocked", F.coalesce("verdict", "blocked")).drop("verdict")
 
 
 def score_ordered(log: DataFrame, policy: Policy = Policy(), model=None, skew: Skew = Skew(),

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import metrics, model as ml
+from attestra.operators import forest, metrics, model as ml
 from attestra.plans.jobs import benchmark_report
 from attestra.plans.scoring import score_attempts
 from attestra.policy import Policy
@@ -65,6 +65,40 @@ def test_scoring_with_a_model_blends_and_keeps_floors(spark, trained):
         assert r["rule_points"] == sum(x["points"] for x in r["reasons"])
 
 
+def test_forest_as_data_gives_the_same_probabilities(spark, trained):
+    matrix, model = trained
+    plain = forest.exported(model)
+    both = ml.fraud_probability(ml.fraud_probability(matrix, model, "a"), plain, "b")
+    assert both.filter("abs(a - b) > 1e-9").isEmpty() and both.select("b").distinct().count() > 1
+    stored = forest.to_table(spark, plain)
+    assert stored.filter("node = 0").count() == 10
+    assert forest.from_table(stored, plain.labels, plain.importances) == plain
+    same = matrix.select(ml.contributors(model).alias("a"), ml.contributors(plain).alias("b"))
+    assert same.filter("a <> b").isEmpty()
+    other = forest.Forest(("A", "B"), (("ela_score", 1.0, (0.9, 0.1), (0.2, 0.8)), (0.5, 0.5)))
+    assert [r[0] for r in spark.createDataFrame([(0.5,), (2.0,), (None,)], "ela_score double").select(
+        F.round(forest.fraud_share(other), 6)).collect()] == [0.7, 0.65, 0.7]
+
+
+def test_flags_that_lower_scores_reach_the_fixpoint(spark):
+    """Rows one at a time, with a forest in which a flagged address lowers the probability."""
+    rows = random_rows(random.Random(21), 90, span=400)
+    odd = forest.Forest(("FRAUD", "LEGITIMATE"), (("ip_flagged", 0.5, (1.0, 0.0), (0.0, 1.0)), ("cluster_has_blocked", 0.5, (0.75, 0.25), (0.0, 1.0))))
+    policy = Policy(block_score=45)
+    got = sorted(score_attempts(to_frame(spark, rows), policy, model=odd).collect(), key=lambda r: r["seq"])
+    bad_ip, lowered = set(), 0
+    for r in got:                       # each row's flags follow from the decisions before it
+        assert bool(r["features"]["ip_flagged"]) == (r["ip_address"] in bad_ip)
+        p = 0.5 * ((not r["features"]["ip_flagged"]) + 0.75 * (not r["features"]["cluster_has_blocked"]))
+        assert abs(r["ml_probability"] - p) < 1e-9
+        lowered += p < 0.8
+        floor = max([0] + [policy.floors[x["rule"]] for x in r["reasons"] if x["rule"] in policy.floors])
+        assert r["risk_score"] == max(0, min(100, round(max(0.7 * r["rule_points"] + 30 * p, floor))))
+        if r["decision"] == "BLOCK" and r["ip_address"]:
+            bad_ip.add(r["ip_address"])
+    assert lowered and bad_ip
+
+
 def test_disjoint_documents(spark):
     a = spark.createDataFrame([("x",), (None,)], "document_hash string")
     b = spark.createDataFrame([("y",), (None,)], "document_hash string")

@@ -204,3 +204,17 @@ def test_histogram_and_paging(spark):
     with pytest.raises(ValueError):
         reports.recent_attempts(df, 0)
     assert reports.decision_totals(df.filter("false")).first().asDict() == dict(total=0, allowed=0, stepped_up=0, blocked=0)
+
+
+def test_medians_without_a_sort(spark):
+    import random
+    import statistics
+    r = random.Random(3)
+    cases = [[1.0], [1.0, 2.0], [5.0] * 9, [r.gauss(0, 1) for _ in range(501)], [float(r.randrange(4)) for _ in range(200)],
+             [10.0 ** r.randrange(-300, 300) for _ in range(101)], [-1.7e308, 1.7e308, 0.0, 1.0], [0.0] * 50 + [1e9] * 50]
+    n = max(map(len, cases))
+    rows = [tuple(c[i] if i < len(c) else None for c in cases) for i in range(n)] + [tuple([float("nan")] * len(cases)), tuple([None] * len(cases))]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(len(cases)))).withColumn("none", F.lit(None).cast("double"))
+    got = metrics.medians(df, [*(f"x{i}" for i in range(len(cases))), "none"], bins=4)
+    assert got.pop("none") is None
+    assert [got[f"x{i}"] for i in range(len(cases))] == [statistics.median(c) for c in cases]
