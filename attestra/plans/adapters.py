@@ -66,6 +66,20 @@ def people_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN c_acctbal < 0 THEN 'BLOCK' ELSE 'ALLOW' END AS decision")
 
 
+def documented_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who show a document: names that differ, metadata flags, some without identity; nothing is shared."""
+    c = "c_custkey"
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"{c} AS record_id", f"timestamp_seconds(1700000000 + {c} * 60) AS ts",
+        f"CASE WHEN {c} % 10 <> 0 THEN concat('C', {c}) END AS claimed_user_ref", "c_name AS full_name",
+        f"CASE {c} % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN substr(c_name, 1, 9) WHEN 2 THEN 'Zzz' WHEN 4 THEN concat(c_name, 'x') END "
+        "AS document_name",
+        f"CASE WHEN {c} % 4 = 0 THEN CAST(({c} % 130) / 10.0 AS DOUBLE) END AS ela_score",
+        f"CASE {c} % 7 WHEN 0 THEN array('x', 'Metadata names image editing software: GIMP') "
+        "WHEN 1 THEN array('No EXIF metadata present') WHEN 2 THEN CAST(array() AS array<string>) END AS metadata_flags",
+        f"{c} % 3 <> 0 AS has_forensics")
+
+
 def results_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows with labels and campaigns, each column a plain function of the order."""
     return table(spark, sf_dir, "orders").selectExpr(

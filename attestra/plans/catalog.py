@@ -297,6 +297,15 @@ def score_with_model(spark, d):
                     F.element_at(r, -1)["description"].alias("model_text"))
 
 
+@query
+def document_rules(spark, d):
+    """R11, R17-R19 through C5: names on documents and metadata flags, identities and addresses missing."""
+    s = score_attempts(ad.documented_people(spark, d), ad.ORDER_POLICY)
+    return s.select("record_id", "claimed_user_ref", *_long("rule_points"), "decision",
+                    F.array_join(F.transform("reasons", lambda x: x["description"]), " | ").alias("texts"),
+                    *[F.col(f"features.{n}").cast("long").alias(n) for n in ("attribute_flags", "metadata_flag")])
+
+
 @query
 def feature_vector(spark, d):
     """C1 of every attempt after feedback."""
@@ -707,6 +716,23 @@ def read_json(spark, d):
     return _canonical(readers.read_attempts(spark, path))
 
 
+@query
+def read_documents(spark, d):
+    """Benchmark texts as files of a folder; a third of the records names a file outside of it."""
+    root = scratch_path(spark, "documents")
+    items = ad.table(spark, d, "benchmark").filter("text IS NOT NULL")
+    items.select("item_id", F.col("text").alias("value")).repartition(4, "item_id").write.partitionBy("item_id").text(root)
+    files = readers.read_documents(spark, root).select(
+        F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"), "path", "doc_hash", "length",
+        (F.col("length") % 130 / 10).alias("ela_score"), F.array().cast("array<string>").alias("metadata_flags"))
+    raw = files.selectExpr(
+        "item_id AS record_id", "concat('I', item_id) AS user_ref", "CASE WHEN item_id % 2 = 0 THEN concat('H', item_id) END AS doc_hash",
+        "CASE WHEN item_id % 3 = 0 THEN concat('../', path) ELSE path END AS document")
+    a = to_attempts(attach_forensics(normalize_records(resolve_aliases(raw)), files))
+    return a.select("record_id", "document_hash", F.round("ela_score", 2).alias("ela_score"), "document_status",
+                    *_long("has_forensics"))
+
+
 @query
 def parse_timestamp(spark, d):
     e = ad.table(spark, d, "events").selectExpr(

@@ -272,6 +272,22 @@ m AS (SELECT *, 1.0::DOUBLE - {_LEGIT} AS p, coalesce(nullif(array_to_string(lis
 SELECT record_id, CAST(pts AS BIGINT) AS rule_points, CAST(score AS BIGINT) AS risk_score, round(p, 6) AS probability, decision,
   concat_ws(';', nullif({_NAMES}, ''), 'MODEL_RISK') AS rules,
   printf('Model estimates %.0f%% probability of fraud (driven by: %s)', p * 100, drivers) AS model_text FROM m"""
+SQL["document_rules"] = """WITH p AS (SELECT c_custkey AS c, c_custkey % 3 <> 0 AS has,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST((c_custkey % 130) / 10.0 AS DOUBLE) END AS ela FROM customer),
+r AS (SELECT *, CASE c % 5 WHEN 1 THEN 'Name on document does not match the submitted name (similarity 67%)'
+    WHEN 2 THEN 'Name on document does not match the submitted name (similarity 0%)' END AS n,
+  CASE WHEN has AND ela >= 6.0 THEN printf('Compression analysis shows a region inconsistent with the rest of the document (score %.1f, threshold 6.0)', ela)
+    END AS a, CASE WHEN has AND c % 7 = 0 THEN 'Metadata names image editing software: GIMP' END AS e,
+  CASE WHEN has AND c % 7 = 1 THEN 'No EXIF metadata present' END AS m FROM p),
+s AS (SELECT *, CASE WHEN n IS NULL THEN 0 ELSE 15 END + CASE WHEN a IS NULL THEN 0 ELSE 20 END + CASE WHEN e IS NULL THEN 0 ELSE 12 END
+  + CASE WHEN m IS NULL THEN 0 ELSE 8 END AS pts FROM r)
+SELECT c AS record_id, CASE WHEN c % 10 <> 0 THEN 'C' || c END AS claimed_user_ref, CAST(pts AS BIGINT) AS rule_points,
+  CASE WHEN pts >= 30 THEN 'STEP_UP' ELSE 'ALLOW' END AS decision, concat_ws(' | ', n, a, e, m) AS texts,
+  CAST(n IS NOT NULL AS BIGINT) AS attribute_flags, CAST(has AND c % 7 IN (0, 1) AS BIGINT) AS metadata_flag FROM s"""
+SQL["read_documents"] = """WITH b AS (SELECT item_id AS i, sha256(text || chr(10)) AS h, strlen(text) + 1 AS n FROM benchmark WHERE text IS NOT NULL),
+a AS (SELECT *, CASE WHEN i % 3 <> 0 THEN h WHEN i % 2 = 0 THEN 'H' || i END AS doc FROM b)
+SELECT i AS record_id, doc AS document_hash, CASE WHEN i % 3 <> 0 THEN round(n % 130 / 10.0, 2)::DOUBLE END AS ela_score,
+  CASE WHEN doc IS NULL THEN 'NOT_SUBMITTED' ELSE 'PASS' END AS document_status, CAST(doc IS NOT NULL AS BIGINT) AS has_forensics FROM a"""
 SQL["score_rules"] = f"""WITH RECURSIVE {FEATURES}, {_round(0)} SELECT record_id, CAST(pts AS BIGINT) AS rule_points,
   CAST(score AS BIGINT) AS risk_score, decision FROM r0"""
 SQL["score_with_feedback"] = f"""{_ALL} SELECT record_id, seq, CAST(pts AS BIGINT) AS rule_points,
