@@ -1025,12 +1025,13 @@ def stream_rebuild(spark, d):
 
 @query
 def stream_step_up(spark, d):
-    """ST3 as a stream: responses arrive in three pieces and resolve the challenges of the scored orders."""
+    """ST3 as keyed state: challenges and responses are streams; the responses arrive in three pieces."""
     from attestra.operators.ordering import dense_rank_in_order
-    from attestra.streaming.stepup import stream_step_up as step_up_stream
+    from attestra.streaming.stepup import stream_resolutions
     state = scratch_path(spark, "state")
     scored, responses = _challenges(spark, d)
     challenges = durable(stepup.open_challenges(scored), "challenges")
     log = dense_rank_in_order(responses, [F.col("answered_at").asc(), F.col("response_id").asc()], "seq")
-    _in_steps(spark, log, 3, lambda source: step_up_stream(source, lambda: challenges, state))
+    _in_steps(spark, log, 3, lambda source: stream_resolutions(
+        spark.readStream.schema(challenges.schema).parquet(challenges.inputFiles()[0].rsplit("/", 1)[0]), source, state))
     return spark.read.parquet(f"{state}/resolved").select("attempt_ref", "step_up_result", "decision")

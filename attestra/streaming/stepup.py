@@ -1,12 +1,20 @@
-"""ST3 on a stream of responses."""
+"""ST3 on streams: challenges as keyed state with expiry timers, or judged against a table of challenges."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from attestra.operators.stepup import DEMO_CODE, judge_responses
 from attestra.policy import ALLOW, BLOCK
 from attestra.streaming.scoring import RESOLVED, _table
+from attestra.streaming.velocity import ROCKSDB
+
+OUTCOME = "attempt_ref string, response_id long, owner string, sec long, outcome string"
 
 
 def resolve_batch(challenges: DataFrame, responses: DataFrame, batch_id: int, state_dir: str,
@@ -40,3 +48,98 @@ def stream_step_up(responses: DataFrame, read_challenges, state_dir: str, code:
     return (responses.writeStream.foreachBatch(handle)
             .option("checkpointLocation", f"{state_dir}/checkpoint-step-up")
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+class Challenges(StatefulProcessor):
+    """Per attempt: who owns its challenge, until when it is open, and whether it was used.
+
+    Responses of a micro-batch are judged in time order, each in constant time. A timer at the end of a challenge reports
+    ``LAPSED`` if nobody used it; a second one, ``keep_seconds`` later, removes the state, after which responses are ``NOT_FOUND``.
+    """
+
+    def __init__(self, code: str, keep_seconds: int):
+        self.code, self.keep = code, keep_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "owner string, expires long, used boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
+        held = self.open.get()
+        before = held
+        for owner, expires in zip(*(batch.loc[batch["opens"], c] for c in ("owner", "expires_sec"))):
+            if held is None:                        # a challenge that is delivered again changes nothing
+                held = (owner, int(expires), False)
+                self.handle.registerTimer(int(expires) * 1000)
+        out = []
+        asked = batch[~batch["opens"]].sort_values(["sec", "response_id"], kind="stable")
+        for r in asked.itertuples(index=False):
+            if not isinstance(r.code, str) or not re.fullmatch("[0-9]{6}", r.code):
+                outcome = "MALFORMED"
+            elif held is None or r.owner != held[0] or r.sec >= held[1] + self.keep:     # whether or not the timer has fired
+                outcome = "NOT_FOUND"
+            elif held[2]:
+                outcome = "RESOLVED"
+            elif r.sec >= held[1]:
+                outcome = "EXPIRED"
+            else:
+                outcome, held = "PASSED" if r.code == self.code else "FAILED", (held[0], held[1], True)
+            out.append((key[0], r.response_id, r.owner, r.sec, outcome))
+        if held is not None and held != before:
+            self.open.update(held)
+        yield pd.DataFrame(out, columns=["attempt_ref", "response_id", "owner", "sec", "outcome"]).astype({"response_id": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.open.get()
+        if held is None:
+            return
+        owner, expires, used = held
+        if expiredTimerInfo.getExpiryTimeInMs() > expires * 1000:
+            self.open.clear()
+            return
+        self.handle.registerTimer((expires + self.keep) * 1000)
+        if not used:
+            yield pd.DataFrame([(key[0], None, owner, expires, "LAPSED")],
+                               columns=["attempt_ref", "response_id", "owner", "sec", "outcome"]).astype({"response_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def judged_stream(challenges: DataFrame, responses: DataFrame, code: str = DEMO_CODE, delay: str = "10 minutes",
+                  keep_seconds: int = 86_400) -> DataFrame:
+    """ST3 on two streams: an outcome for each response, and ``LAPSED`` for challenges that nobody used in time.
+
+    ``challenges`` has ``attempt_ref``, ``owner``, ``expires_sec`` and ``responses`` has ``response_id``, ``attempt_ref``, ``owner``,
+    ``code``, ``answered_at``. Both carry a watermark; state is one small row for each challenge and goes with its timer, and neither
+    challenges nor outcomes are read again. A response must not arrive before its challenge.
+    """
+    responses.sparkSession.conf.set(*ROCKSDB)
+    opened = challenges.withColumn("ts", F.timestamp_seconds("expires_sec")).withWatermark("ts", delay).select(
+        "attempt_ref", "owner", F.lit(True).alias("opens"), "expires_sec", F.lit(None).cast("long").alias("response_id"),
+        F.lit(None).cast("string").alias("code"), F.col("expires_sec").alias("sec"), "ts")
+    asked = responses.withColumn("ts", F.col("answered_at")).withWatermark("ts", delay).select(
+        "attempt_ref", "owner", F.lit(False).alias("opens"), F.lit(None).cast("long").alias("expires_sec"), "response_id", "code",
+        F.unix_timestamp("answered_at").alias("sec"), "ts")
+    return opened.unionByName(asked).filter("attempt_ref IS NOT NULL").groupBy("attempt_ref").transformWithStateInPandas(
+        Challenges(code, keep_seconds), outputStructType=OUTCOME, outputMode="Append", timeMode="EventTime")
+
+
+def stream_resolutions(challenges: DataFrame, responses: DataFrame, state_dir: str, code: str = DEMO_CODE, delay: str = "10 minutes",
+                       keep_seconds: int = 86_400, **trigger):
+    """Start :func:`judged_stream`; outcomes go to ``responses/`` and decisions to the ``resolved/`` table the scorer reads."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        path = f"{state_dir}/responses/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        passed = F.col("outcome") == "PASSED"
+        batch.sparkSession.read.schema(OUTCOME).parquet(path).filter(F.col("outcome").isin("PASSED", "FAILED")).select(
+            "attempt_ref", F.when(passed, "PASS").otherwise("FAIL").alias("step_up_result"),
+            F.when(passed, ALLOW).otherwise(BLOCK).alias("decision")) \
+            .write.mode("overwrite").parquet(f"{state_dir}/resolved/batch_id={batch_id}")
+
+    return (judged_stream(challenges, responses, code, delay, keep_seconds).writeStream.foreachBatch(handle).outputMode("append")
+            .option("checkpointLocation", f"{state_dir}/checkpoint-step-up")
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -9,7 +9,7 @@ from attestra.plans.scoring import score_attempts
 from attestra.schema import conform
 from attestra.session import durable
 from attestra.streaming import scoring as ss
-from attestra.streaming.stepup import resolve_batch, stream_step_up
+from attestra.streaming.stepup import resolve_batch, stream_resolutions, stream_step_up
 from attestra.streaming.velocity import stream_velocity
 from replay import random_rows, to_frame
 
@@ -112,3 +112,39 @@ def test_stream_velocity(spark, tmp_path):
         if r["ip"]:
             near = [p for p in rows[:i] if p["ip"] == r["ip"] and p["sec"] >= r["sec"] - 60]
             assert got[r["record_id"]] == (len(near), len({p["id"] for p in near if p["id"]}))
+
+
+def test_challenges_as_state_with_timers(spark, tmp_path):
+    ch = spark.createDataFrame([(f"A{i}", "own", 300 + i) for i in range(6)], "attempt_ref string, owner string, expires_sec long")
+    rows = [(1, "A0", "own", "12", 10), (2, "A0", "other", "123456", 20), (3, "A0", "own", "123456", 30), (4, "A1", "own", "000000", 40),
+            (5, "A9", "own", "123456", 50), (6, "A0", "own", "000000", 60), (7, "A1", "own", "123456", 70), (8, "A2", "own", "123456", 302),
+            (9, "A3", None, "123456", 302), (10, "A3", "own", "000000", 302), (11, "A3", "own", "123456", 302)]
+    schema = "response_id long, attempt_ref string, owner string, code string, s long"
+    responses = spark.createDataFrame(rows, schema).withColumn("answered_at", F.timestamp_seconds("s"))
+    want = {r["response_id"]: r["outcome"] for r in stepup.judge_responses(ch, responses).collect()}
+    ch.write.parquet(str(tmp_path / "ch"))
+    state = str(tmp_path / "state")
+
+    def deliver(df):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_resolutions(spark.readStream.schema(ch.schema).parquet(str(tmp_path / "ch")),
+                           spark.readStream.schema(responses.schema).parquet(str(tmp_path / "in")), state, delay="0 seconds",
+                           keep_seconds=1000).awaitTermination()
+
+    for low, high in ((0, 25), (25, 65), (65, 400)):
+        deliver(responses.filter((F.col("s") >= low) & (F.col("s") < high)))
+    out = spark.read.parquet(f"{state}/responses")
+    assert {r["response_id"]: r["outcome"] for r in out.filter("response_id IS NOT NULL").collect()} == want
+    assert {"MALFORMED", "NOT_FOUND", "PASSED", "FAILED", "RESOLVED", "EXPIRED"} == set(want.values())
+    # The challenge stream's own clock ended at 305, so only challenges before that have lapsed by now.
+    late = spark.createDataFrame([(f"B{i}", "own", 5000 + i) for i in range(2)], ch.schema)
+    late.write.mode("append").parquet(str(tmp_path / "ch"))
+    deliver(spark.createDataFrame([(20, "B0", "own", "123456", 4000)], schema).withColumn("answered_at", F.timestamp_seconds("s")))
+    out = spark.read.parquet(f"{state}/responses")
+    assert {r["attempt_ref"] for r in out.filter("outcome = 'LAPSED'").collect()} == {"A2", "A4", "A5"}
+    deliver(spark.createDataFrame([(21, "A0", "own", "123456", 4100), (22, "B1", "own", "000000", 4100)], schema)
+            .withColumn("answered_at", F.timestamp_seconds("s")))
+    got = {r["response_id"]: r["outcome"] for r in spark.read.parquet(f"{state}/responses").filter("response_id > 12").collect()}
+    assert got == {20: "PASSED", 21: "NOT_FOUND", 22: "FAILED"}
+    done = {r["attempt_ref"]: r["decision"] for r in spark.read.parquet(f"{state}/resolved").collect()}
+    assert done == {"A0": "ALLOW", "A1": "BLOCK", "A3": "BLOCK", "B0": "ALLOW", "B1": "BLOCK"}
