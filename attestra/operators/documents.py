@@ -8,7 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra.functions.text import phash_distance
+from attestra.operators.graph import connected
 from attestra.policy import EDITOR_SIGNATURES
+from attestra.session import durable
 
 # Metadata concerns.
 NO_EXIF = "No EXIF metadata present (expected on a camera capture)"
@@ -117,6 +119,55 @@ def near_duplicate_documents(docs: DataFrame, max_distance: int = 4, phash: str
             .filter(F.col("distance") <= max_distance).select("phash_a", "phash_b", "distance"))
 
 
+def _bit(i: Column) -> Column:
+    """The long with bit ``i`` set, for a column or lambda variable ``i``."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def near_duplicate_groups(docs: DataFrame, max_distance: int = 4, phash: str = "phash", full: int = 1000) -> DataFrame:
+    """D5 as groups: every perceptual hash with the smallest hash it is linked to, over steps of at most ``max_distance`` bits, and
+    its distance from that one. One row for each hash, however dense the groups are.
+
+    Two hashes that close agree on one of ``max_distance + 1`` bands of bits. A bucket with more than ``full`` hashes is cut again by bands
+    of the bits in which its hashes still differ; no pair is lost, as its differing bits are among these. A cut that does not
+    halve the comparisons is not made: such a bucket holds hashes that are nearly all close to each other.
+    """
+    n = max_distance + 1
+    hashes = docs.filter(F.col(phash).rlike(r"^[0-9a-fA-F]{16}$")).select(F.lower(phash).alias("h")).distinct()
+    rows = durable(hashes.select("h", F.conv("h", 16, -10).cast("long").alias("bits"), F.lit("").alias("key")), "hashes")
+    parents = rows.groupBy("key").agg(F.count("*").alias("size"), F.lit(-1).cast("long").alias("free"))
+    buckets = None
+    while True:
+        # Each bucket's own bands: its differing bits in n runs, each as a mask.
+        places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("free").bitwiseAND(_bit(i)) != 0)
+        cut = [F.floor(F.size("places") * k / n).cast("int") for k in range(n + 1)]
+        masks = F.array(*[F.aggregate(F.slice("places", cut[k] + 1, cut[k + 1] - cut[k]), F.lit(0).cast("long"),
+                                      lambda m, i: m.bitwiseOR(_bit(i))) for k in range(n)])
+        bands = durable(parents.withColumn("places", places).select("key", "size", masks.alias("masks")), "masks")
+        keyed = rows.join(bands, "key").select("h", "bits", F.col("key").alias("parent"), "size", F.posexplode("masks").alias("k", "mask"))
+        keyed = durable(keyed.select("h", "bits", "parent", "size", F.concat_ws(
+            "|", "parent", "k", F.col("bits").bitwiseAND(F.col("mask"))).alias("key")), "bands")
+        counts = keyed.groupBy("parent", "size", "key").agg(F.count("*").alias("n"), F.bit_or("bits").bitwiseXOR(F.bit_and("bits")).alias("free"))
+        counts = durable(counts, "counts")
+        useful = counts.groupBy("parent", "size").agg(F.sum(F.col("n") * F.col("n")).alias("work")) \
+            .filter((F.col("size") * F.col("size") > 2 * F.col("work")) | (F.col("parent") == "")).select("parent")
+        as_is = rows.join(useful.withColumnRenamed("parent", "key"), "key", "left_anti").select("h", "key")
+        kept = counts.join(useful, "parent")
+        more = durable(kept.filter((F.col("n") > full) & (F.bit_count("free") >= n)).select("key", F.col("n").alias("size"), "free"), "full")
+        fine = keyed.join(kept.select("key"), "key", "left_semi").join(more.select("key"), "key", "left_anti").select("h", "key")
+        part = as_is.unionByName(fine)
+        buckets = part if buckets is None else buckets.unionByName(part)
+        if more.isEmpty():
+            break
+        rows, parents = keyed.join(more.select("key"), "key", "left_semi").select("h", "bits", "key"), more
+    pairs = buckets.withColumnRenamed("h", "a").join(buckets.withColumnRenamed("h", "b"), "key").filter(
+        (F.col("a") < F.col("b")) & (phash_distance(F.col("a"), F.col("b")) <= max_distance)).select("a", "b")
+    roots = connected(pairs, "a", "b")
+    found = hashes.join(roots, hashes["h"] == roots["node"], "left").select("h", F.coalesce("root", "h").alias("representative"))
+    return found.select(F.col("h").alias("phash"), "representative",
+                        phash_distance(F.col("h"), F.col("representative")).alias("distance"))
+
+
 def document_summary() -> Column:
     """D6 on columns doc_hash, ela_score, metadata_flags."""
     body = F.to_json(F.struct(

@@ -852,6 +852,14 @@ def near_duplicate_documents(spark, d):
     return documents.near_duplicate_documents(o, 2).select("phash_a", "phash_b", *_long("distance"))
 
 
+@query
+def near_duplicate_groups(spark, d):
+    """D5 as groups, with buckets of more than twenty hashes cut again."""
+    o = ad.table(spark, d, "orders").selectExpr(
+        "concat(substr(sha2(CAST(o_custkey AS STRING), 256), 1, 15), lower(hex(o_orderkey % 16))) AS phash")
+    return documents.near_duplicate_groups(o, 1, full=20).select("phash", "representative", *_long("distance"))
+
+
 @query
 def document_summary(spark, d):
     p = ad.presentations_from_documents(spark, d).selectExpr(

@@ -569,6 +569,12 @@ SQL["metadata_flags"] = """SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'Metadat
 SQL["near_duplicate_documents"] = """WITH h AS (SELECT DISTINCT substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 15) || lower(to_hex(o_orderkey % 16)) AS p FROM orders),
 v AS (SELECT p, CAST('0x' || p AS UBIGINT) AS u FROM h)
 SELECT a.p AS phash_a, b.p AS phash_b, CAST(bit_count(xor(a.u, b.u)) AS BIGINT) AS distance FROM v a JOIN v b ON a.p < b.p AND bit_count(xor(a.u, b.u)) <= 2"""
+SQL["near_duplicate_groups"] = """WITH RECURSIVE h AS (SELECT DISTINCT substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 15) || lower(to_hex(o_orderkey % 16)) AS p FROM orders),
+v AS (SELECT p, CAST('0x' || p AS UBIGINT) AS u FROM h),
+e AS MATERIALIZED (SELECT a.p AS x, b.p AS y FROM v a JOIN v b ON a.p <> b.p AND bit_count(xor(a.u, b.u)) <= 1),
+r AS (SELECT p AS src, p AS dst FROM h UNION SELECT src, y FROM r JOIN e ON x = dst),
+g AS (SELECT src AS phash, min(dst) AS representative FROM r GROUP BY src)
+SELECT phash, representative, CAST(bit_count(xor(CAST('0x' || phash AS UBIGINT), CAST('0x' || representative AS UBIGINT))) AS BIGINT) AS distance FROM g"""
 SQL["document_summary"] = """SELECT doc_id AS seq, '{"hash":"' || substr(sha256(text), 1, 12) || '","ela":' ||
   CASE WHEN doc_id % 3 > 0 THEN CAST(round_even((doc_id % 50) / 4.0::DOUBLE, 2) AS VARCHAR) ELSE 'null' END || ',"metadata_flags":' ||
   CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END || '}' AS summary FROM documents"""

@@ -146,6 +146,29 @@ def test_near_duplicates_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_duplicate_groups_equal_brute_force(spark):
+    import random
+    rng = random.Random(4)
+    flip = lambda h, n: h ^ sum({1 << rng.randrange(64) for _ in range(n)})
+    base = [rng.getrandbits(64) for _ in range(5)]
+    hs = {flip(b, 3) for b in base for _ in range(10)} | {base[0] ^ k for k in range(40)} | {rng.getrandbits(64) for _ in range(15)}
+    df = spark.createDataFrame([(f"{h:016X}",) for h in hs for _ in range(2)] + [(None,), ("zz",)], "phash string")
+    for d, full in ((1, 3), (4, 6), (4, 1000)):
+        root = {h: h for h in hs}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a in hs:
+            for b in hs:
+                if bin(a ^ b).count("1") <= d and find(a) != find(b):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+        got = {r["phash"]: (r["representative"], r["distance"]) for r in documents.near_duplicate_groups(df, d, full=full).collect()}
+        assert got == {f"{h:016x}": (f"{find(h):016x}", bin(h ^ find(h)).count("1")) for h in hs}, (d, full)
+
+
 def test_validation(spark):
     good = ("Sara Ali", "1990-01-05", "UAE", "+971501234567", "a@b.co", "1 Palm St", "DEV-1", "pass", "id.png")
     bad = ("  ", "1990-1-5", "UAE", "0501", "a b@c", "x" * 301, "dev 1", "maybe", None)
