@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from attestra.operators import stepup
 from attestra.operators.ordering import chronological
 from attestra.plans.scoring import score_attempts
+from attestra.policy import Policy
 from attestra.schema import conform
 from attestra.session import durable
 from attestra.streaming import scoring as ss
+from attestra.streaming.state import Compaction, State, finished
 from attestra.streaming.stepup import resolve_batch, stream_resolutions, stream_step_up
 from attestra.streaming.velocity import stream_velocity
 from replay import random_rows, to_frame
@@ -30,13 +32,18 @@ def answers(df):
 
 def test_micro_batches_give_the_batch_result(spark, batchwise, tmp_path):
     ordered, want = batchwise
-    state = str(tmp_path)
-    for i in range(2):
-        ss.score_batch(ordered.filter(F.floor(F.col("seq") / 30) == i).drop("seq"), i, state)
+    state, size = str(tmp_path), Compaction(every=1, bucket_rows=7)
+    for i in range(3):
+        ss.score_batch(ordered.filter(F.floor(F.col("seq") / 20) == i).drop("seq"), i, state, compaction=size)
     got = answers(spark.read.parquet(f"{state}/scored"))
     assert got == want
+    # What only older batches could need is gone.
+    assert finished(spark, f"{state}/manifest") == [1, 2] and finished(spark, f"{state}/edges/log") == [2]
+    assert finished(spark, f"{state}/edges/snapshot", "upto=") == [1, 2]
+    assert spark.read.parquet(f"{state}/edges/snapshot/upto=2").count() == \
+        spark.read.parquet(f"{state}/history").filter("new_edge").count()
     # A batch that runs again overwrites itself and nothing else.
-    again = ss.score_batch(ordered.filter(F.floor(F.col("seq") / 30) == 1).drop("seq"), 1, state)
+    again = ss.score_batch(ordered.filter(F.floor(F.col("seq") / 20) == 2).drop("seq"), 2, state, compaction=size)
     assert answers(again) == {k: v for k, v in want.items() if k in answers(again)}
     assert spark.read.parquet(f"{state}/history").count() == 60
 
@@ -148,3 +155,45 @@ def test_challenges_as_state_with_timers(spark, tmp_path):
     assert got == {20: "PASSED", 21: "NOT_FOUND", 22: "FAILED"}
     done = {r["attempt_ref"]: r["decision"] for r in spark.read.parquet(f"{state}/resolved").collect()}
     assert done == {"A0": "ALLOW", "A1": "BLOCK", "A3": "BLOCK", "B0": "ALLOW", "B1": "BLOCK"}
+
+
+def test_a_batch_reads_what_it_needs_and_not_the_history(spark, tmp_path):
+    """The same few attempts after 1,004 and after 6,002 attempts of other people: the bytes read stay the same."""
+    people = durable(conform(spark.range(6_006).select(
+        F.col("id").alias("record_id"), F.format_string("A%d", "id").alias("attempt_ref"),
+        F.format_string("u%d", F.floor(F.col("id") / 3)).alias("claimed_user_ref"),
+        F.timestamp_seconds(F.col("id") * 20).alias("ts"), F.format_string("ip%d", F.col("id")).alias("ip_address"),
+        F.format_string("d%d", F.floor(F.col("id") / 2)).alias("device_id"),
+        F.sha2(F.col("id").cast("string"), 512).alias("address"))).withColumn("seq", F.col("record_id")))
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def cost(n):
+        state = str(tmp_path / str(n))
+        ss.rebuild_state(people.filter(F.col("seq") < n).withColumn("decision", F.when(F.col("seq") % 2 == 0, "BLOCK").otherwise("ALLOW")),
+                         state, Compaction(bucket_rows=100))
+        few = durable(people.filter((F.col("seq") >= n) & (F.col("seq") < n + 4)))
+        before = status.executorSummary("driver").totalInputBytes()
+        now = State(spark, state, 0)
+        _, _, stored = now.labels(few)
+        old = ss.relevant_history(now, few, people.withColumn("decision", F.lit("")).filter("false"), stored, Policy())
+        found = {r["seq"] for r in old.select("seq").collect()}
+        return status.executorSummary("driver").totalInputBytes() - before, found
+
+    small, found = cost(1004)
+    large, later = cost(6002)
+    # The identity of the two attempts before goes on; nobody else shares anything with the batch.
+    assert found == {1002, 1003} and later == {6000, 6001}
+    assert large < 1.3 * small, (small, large)
+
+
+def test_a_repeated_batch_does_not_see_later_outcomes(spark, tmp_path):
+    root = str(tmp_path)
+    row = conform(spark.createDataFrame([(0, "A1", "u", 100)], "record_id long, attempt_ref string, claimed_user_ref string, sec long")
+                  .withColumn("ts", F.timestamp_seconds("sec")).withColumn("device_id", F.lit("d")))
+    ss.rebuild_state(row.withColumn("seq", F.lit(0).cast("long")).withColumn("decision", F.lit("STEP_UP")), root)
+    assert ss._failed(State(spark, root, 0)).isEmpty()
+    spark.createDataFrame([("A1", "FAIL", "BLOCK")], "attempt_ref string, step_up_result string, decision string") \
+        .write.parquet(f"{root}/resolved/batch_id=0")
+    assert ss._failed(State(spark, root, 0)).isEmpty()
+    assert [(r["seq"], r["decision"]) for r in ss._failed(State(spark, root, 1)).collect()] == [(0, "BLOCK")]
+    assert ss._failed(State(spark, root, 2)).isEmpty()
