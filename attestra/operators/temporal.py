@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestra.operators.skew import hot_values, slotted
 from attestra.policy import BLOCK, Skew
+from attestra.session import durable
 
 _PAST = (W.unboundedPreceding, -1)
 
@@ -25,9 +26,53 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0)).cast("long")
 
 
+def sums_before(totals: DataFrame, group: list[str], at: str, values: list[str], width: int) -> DataFrame:
+    """Replace each value by its sum over the rows of the group with a smaller ``at``.
+
+    ``totals`` has one row for each group and ``at``. No window holds more than ``width`` of them: sums inside
+    blocks of ``width`` places come first, and what stands before a block is the same question about the
+    blocks' totals, again in blocks, for as many levels as the span of ``at`` needs.
+    """
+    totals = durable(totals, "totals")
+    low, high = totals.agg(F.min(at), F.max(at)).first()
+    return _levels(totals, group, at, values, width, low or 0, (high or 0) - (low or 0) + 1)
+
+
+def _levels(totals: DataFrame, group: list[str], at: str, values: list[str], width: int, low: int, span: int) -> DataFrame:
+    def running(d, window):
+        return d.select(*[c for c in d.columns if c not in values],
+                        *[_zero(F.sum(v).over(window.orderBy(at).rowsBetween(*_PAST))).alias(v) for v in values])
+
+    if span <= width:
+        return running(totals, W.partitionBy(*group))
+    block = f"_{at}_of"
+    d = totals.withColumn(block, F.floor((F.col(at) - low) / width).cast("long"))
+    blocks = d.groupBy(*group, block).agg(*[F.sum(v).alias(v) for v in values])
+    before = _levels(blocks, group, block, values, width, 0, -(-span // width))
+    before = before.select(*group, block, *[F.col(v).alias(f"_b{v}") for v in values])
+    return running(d, W.partitionBy(*group, block)).join(before, [*group, block]).select(
+        *[c for c in totals.columns if c not in values], *[(F.col(v) + F.col(f"_b{v}")).alias(v) for v in values])
+
+
+def carried(marks: DataFrame, key: str, skew: Skew) -> DataFrame:
+    """What a hot key's earlier blocks contribute to each (second, slot): openings of earlier seconds, less closings
+    up to this second, plus openings of the same second in lower slots.
+
+    ``marks``: key, ``sec``, ``_slot``, ``_up``, ``_down``; closings have negative slots and get no row.
+    """
+    marks = durable(marks, "marks")
+    each = marks.groupBy(key, "sec").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down")) \
+        .withColumn("_own", F.col("_down"))
+    seconds = sums_before(each, [key], "sec", ["_up", "_down"], skew.block_rows).select(
+        key, "sec", (F.col("_up") - F.col("_down") - F.col("_own")).alias("_carry"))
+    slots = sums_before(marks.filter("_slot >= 0").groupBy(key, "sec", "_slot").agg(F.sum("_up").alias("_up")),
+                        [key, "sec"], "_slot", ["_up"], skew.block_rows)
+    return slots.join(seconds, [key, "sec"]).select(key, "sec", "_slot", (F.col("_up") + F.col("_carry")).alias("_carry"))
+
+
 def trailing_count(df: DataFrame, key: str, seconds: int, out: str, where: Column | None = None,
-                   hot="find", skew: Skew = Skew()) -> DataFrame:
-    """Earlier rows of the same key with ``sec - seconds <= t <= sec``.
+                   hot="find", skew: Skew = Skew(), weight: Column | None = None) -> DataFrame:
+    """Earlier rows of the same key with ``sec - seconds <= t <= sec``; with ``weight`` their summed weight.
 
     That is all earlier rows in the total order less those older than the window, so ties inside a
     second are exact. Both are running sums over one sort by (key, sec, seq). Zero where key or second
@@ -36,8 +81,8 @@ def trailing_count(df: DataFrame, key: str, seconds: int, out: str, where: Colum
     hot = _hot(df, key, hot, skew)
     missing = F.col(key).isNull() | F.col("sec").isNull()
     d = slotted(df, key, hot, skew, missing)
-    d = d.withColumn("_f", F.lit(1) if where is None
-                     else F.when(where, F.lit(1)).otherwise(F.lit(0)))
+    each = F.lit(1) if weight is None else _zero(weight)
+    d = d.withColumn("_f", each if where is None else F.when(where, each).otherwise(F.lit(0)))
     group = W.partitionBy(key, "_slot")
     # Two steps on purpose: the finer order is sorted for first and serves the coarser one as well.
     d = d.withColumn("_before", _zero(F.sum("_f").over(group.orderBy("sec", "seq").rowsBetween(*_PAST))))
@@ -48,13 +93,12 @@ def trailing_count(df: DataFrame, key: str, seconds: int, out: str, where: Colum
     else:
         peers = _zero(F.sum("_f").over(
             W.partitionBy(key, "_slot", "sec").orderBy("seq").rowsBetween(*_PAST)))
-        per_block = (d.filter(F.col("_hot") & ~missing).groupBy(key, "sec", "_slot")
-                     .agg(F.sum("_f").alias("_n")))
-        carry = per_block.select(
-            key, "sec", "_slot",
-            (_zero(F.sum("_n").over(W.partitionBy(key).orderBy("sec").rangeBetween(-seconds, -1)))
-             + _zero(F.sum("_n").over(
-                 W.partitionBy(key, "sec").orderBy("_slot").rowsBetween(*_PAST)))).alias("_carry"))
+        # A row enters its window at its own second and leaves it ``seconds + 1`` later.
+        counted = (d.filter(F.col("_hot") & ~missing).groupBy(key, "sec", "_slot").agg(F.sum("_f").alias("_up"))
+                   .withColumn("_down", F.lit(0).cast("long")))
+        gone = counted.filter(F.col("_up") > 0).groupBy(key, (F.col("sec") + seconds + 1).alias("sec")).agg(
+            F.lit(-1).cast("long").alias("_slot"), F.lit(0).cast("long").alias("_up"), F.sum("_up").alias("_down"))
+        carry = carried(counted.unionByName(gone), key, skew)
         d = (d.withColumn("_p", peers).join(carry, [key, "sec", "_slot"], "left")
              .withColumn(out, F.when(F.col("_hot"), F.col("_p") + _zero(F.col("_carry")))
                          .otherwise(F.col("_before") - F.col("_older")))
@@ -118,13 +162,7 @@ def account_spread(df: DataFrame, seconds: int = 300, out: str = "velocity_accou
         per_block = (d.filter(F.col("_hot") & ~missing).groupBy(key, "sec", "_slot")
                      .agg(F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_up"),
                           F.sum(F.when(F.col("_d") < 0, 1).otherwise(0)).alias("_down")))
-        by_sec = W.partitionBy(key).orderBy("sec")
-        carry = per_block.select(
-            key, "sec", "_slot",
-            (_zero(F.sum("_up").over(by_sec.rangeBetween(W.unboundedPreceding, -1)))
-             - _zero(F.sum("_down").over(by_sec.rangeBetween(W.unboundedPreceding, 0)))
-             + _zero(F.sum("_up").over(
-                 W.partitionBy(key, "sec").orderBy("_slot").rowsBetween(*_PAST)))).alias("_carry"))
+        carry = carried(per_block, key, skew)
         d = (d.withColumn("_r", running).withColumn("_s", same_second)
              .filter(F.col("_k") == 1)
              .join(carry, [key, "sec", "_slot"], "left")
@@ -151,7 +189,7 @@ def distinct_so_far(df: DataFrame, key: str, member: str, out: str, inclusive: b
     rank = F.row_number().over(W.partitionBy(key, "_slot", member).orderBy("seq"))
     d = d.withColumn("_first", F.when(real & (rank == 1), 1).otherwise(0))
     if hot is not None:
-        firsts = (df.join(F.broadcast(hot), key, "left_semi").filter(real).groupBy(key, member)
+        firsts = (df.join(hot.select(key), key, "left_semi").filter(real).groupBy(key, member)
                   .agg(F.min("seq").alias("seq")).select(key, "seq"))
         d = d.join(firsts.select("seq", F.lit(1).alias("_global")), "seq", "left").withColumn(
             "_first", F.when(F.col("_hot"), F.coalesce("_global", F.lit(0)))
@@ -163,9 +201,8 @@ def distinct_so_far(df: DataFrame, key: str, member: str, out: str, inclusive: b
         carry = firsts.groupBy(
             key, F.floor(F.col("seq") / skew.block_rows).cast("long").alias("_slot")).count()
         slots = d.filter("_hot").groupBy(key, "_slot").count().select(key, "_slot")
-        carry = slots.join(carry, [key, "_slot"], "left").select(
-            key, "_slot", _zero(F.sum("count").over(
-                W.partitionBy(key).orderBy("_slot").rowsBetween(*_PAST))).alias("_carry"))
+        carry = sums_before(slots.join(carry, [key, "_slot"], "left").select(key, "_slot", _zero(F.col("count")).alias("_carry")),
+                            [key], "_slot", ["_carry"], skew.block_rows)
         d = d.join(carry, [key, "_slot"], "left").withColumn(
             out, F.col(out) + _zero(F.col("_carry"))).drop("_carry")
     d = d.withColumn(out, F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.col(out)).cast("long"))

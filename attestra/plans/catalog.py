@@ -923,6 +923,17 @@ def stream_velocity(spark, d):
                                           F.col("members_before").alias("identities"))
 
 
+@query
+def stream_velocity_hot(spark, d):
+    """ST2 with every address treated as hot: counts in blocks of the order, state summed by second and identity."""
+    from attestra.streaming.velocity import stream_velocity_blocks
+    state = scratch_path(spark, "velocity")
+    _in_steps(spark, ad.attempts_from_events(spark, d), 3, lambda source: stream_velocity_blocks(
+        source, state, seconds=ad.EVENT_VELOCITY, skew=Skew(hot_rows=500, block_rows=700)))
+    return spark.read.parquet(f"{state}/velocity").select(F.col("record_id").alias("seq"), F.col("rows_before").alias("velocity_ip_count"),
+                                                          F.col("members_before").alias("identities"))
+
+
 @query
 def stream_score(spark, d):
     """ST1 over a file stream of orders in two micro-batches; the same answer as the batch plan."""

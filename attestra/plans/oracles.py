@@ -596,6 +596,7 @@ SELECT attempt_ref, CASE outcome WHEN 'PASSED' THEN 'ALLOW' WHEN 'FAILED' THEN '
   CASE outcome WHEN 'PASSED' THEN 'PASS' WHEN 'FAILED' THEN 'FAIL' END AS step_up_result FROM res LEFT JOIN hit USING (attempt_ref)"""
 SQL["stream_velocity"] = f"""WITH {EVENTS} SELECT a.seq, count(b.seq) AS velocity_ip_count, count(DISTINCT b.identity) AS identities
   FROM ev a LEFT JOIN ev b ON b.ip = a.ip AND b.seq < a.seq AND b.sec BETWEEN a.sec - 21600 AND a.sec GROUP BY a.seq"""
+SQL["stream_velocity_hot"] = SQL["stream_velocity"]
 
 _FILE = f"""sc AS ({SQL["score_with_feedback"].replace("WITH RECURSIVE", "WITH", 1)}),
 fl AS (SELECT row_number() OVER (ORDER BY sc.record_id) - 1 AS pos, sc.*, o.scenario, o.identity, o.ts AS moment

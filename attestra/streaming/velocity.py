@@ -1,4 +1,4 @@
-"""ST2: trailing counts as keyed state."""
+"""ST2: trailing counts on a stream, as keyed state or, where one key may fill a micro-batch, in blocks of the order."""
 
 from __future__ import annotations
 
@@ -8,6 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
+
+from attestra.operators.ordering import dense_rank_in_order
+from attestra.operators.skew import hot_values
+from attestra.operators.temporal import account_spread, trailing_count
+from attestra.policy import Skew
+from attestra.session import durable
+from attestra.streaming.state import _folder, finished
 
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -107,3 +115,56 @@ def stream_velocity(source: DataFrame, key: str = "ip_address", seconds: int = 6
         TrailingCounts(seconds),
         outputStructType="key string, record_id long, sec long, rows_before long, members_before long",
         outputMode="Append", timeMode="EventTime")
+
+
+COUNTS = "key string, sec long, member string, n long"
+
+
+def velocity_batch(batch: DataFrame, batch_id: int, state: str, key: str = "ip_address", seconds: int = 60,
+                   member: str = "claimed_user_ref", where=None, delay_seconds: int = 600, skew: Skew = Skew()) -> DataFrame:
+    """One micro-batch of :func:`stream_velocity`, same answers, without a task that takes all rows of a key.
+
+    The state is a table of rows per (key, second, member), summed before they are shuffled and kept while a
+    window can still see them. It joins the batch as weighted rows that stand first in their second; a hot key is
+    then cut into blocks of the order like any other. A batch that runs again reads the state it read first.
+    """
+    spark = batch.sparkSession
+    counts = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    rows = durable(batch.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(
+        F.col(key).cast("string").alias("key"), F.unix_timestamp("ts").alias("sec"),
+        F.when(counts, F.nullif(F.col(member).cast("string"), F.lit(""))).alias("member"),
+        counts.cast("long").alias("n"), "record_id", "ts", F.lit(True).alias("_new")), "velocity")
+    done = [i for i in finished(spark, f"{state}/counts") if i < batch_id]
+    kept = spark.createDataFrame([], COUNTS) if not done else \
+        spark.read.schema(COUNTS).parquet(f"{state}/counts/batch_id={done[-1]}")
+    low, high = rows.agg(F.min("sec"), F.max("sec")).first()
+    if low is not None:
+        seen = kept.filter(F.col("sec").between(low - seconds, high)).join(rows.select("key").distinct(), "key", "left_semi")
+        both = rows.unionByName(seen.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        both = durable(dense_rank_in_order(both, [F.col(c).asc() for c in ("sec", "_new", "ts", "record_id")], "seq"), "placed")
+        hot = hot_values(both, ["key"], skew)["key"]
+        both = trailing_count(both, "key", seconds, "rows_before", hot=hot, skew=skew, weight=F.col("n"))
+        both = account_spread(both, seconds, "members_before", "key", "member", hot=hot, skew=skew)
+        last = max(high, kept.agg(F.max("sec")).first()[0] or high)
+        kept.unionByName(rows.select(*kept.columns)).filter((F.col("n") > 0) & (F.col("sec") >= last - delay_seconds - seconds)) \
+            .groupBy("key", "sec", "member").agg(F.sum("n").alias("n")) \
+            .write.mode("overwrite").parquet(f"{state}/counts/batch_id={batch_id}")
+        answers = both.filter("_new")
+    else:
+        answers = rows.withColumn("rows_before", F.lit(0).cast("long")).withColumn("members_before", F.lit(0).cast("long"))
+    out = f"{state}/velocity/batch_id={batch_id}"
+    answers = answers.select("key", "record_id", "sec", "rows_before", "members_before")
+    answers.write.mode("overwrite").parquet(out)
+    for i in done[:-1]:
+        path, fs = _folder(spark, f"{state}/counts/batch_id={i}")
+        fs.delete(path, True)
+    return spark.read.schema(answers.schema).parquet(out)
+
+
+def stream_velocity_blocks(source: DataFrame, state: str, trigger: dict | None = None, **options) -> StreamingQuery:
+    """ST2 for streams with hot keys: answers under ``velocity/`` of ``state``, one folder for each batch.
+
+    ``options`` are those of :func:`velocity_batch`.
+    """
+    return (source.writeStream.foreachBatch(lambda b, i: velocity_batch(b, i, state, **options) and None)
+            .option("checkpointLocation", f"{state}/checkpoint").trigger(**(trigger or {"availableNow": True})).start())

@@ -62,6 +62,24 @@ def test_trailing_and_running_counts(data, skew):
         assert g["document_other_count"] == (len(shown - {r["id"]}) if r["id"] else 0)
 
 
+def test_no_window_holds_a_hot_key_whole(spark, monkeypatch):
+    """One address with 300 rows, most in seconds of their own: every window of the sums stays within block_rows."""
+    sizes, levels = [], temporal._levels
+
+    def watched(totals, group, at, values, width, low, span):
+        cell = F.floor((F.col(at) - low) / width)
+        sizes.append(totals.groupBy(*group, cell).count().agg(F.max("count")).first()[0])
+        return levels(totals, group, at, values, width, low, span)
+
+    monkeypatch.setattr(temporal, "_levels", watched)
+    r = random.Random(2)
+    secs = sorted(r.randrange(500) for _ in range(300))
+    df = spark.createDataFrame([(i, s, "a") for i, s in enumerate(secs)], "seq long, sec long, ip_address string")
+    got = column(temporal.velocity_count(df, seconds=40, skew=Skew(hot_rows=10, block_rows=9)), "velocity_ip_count")
+    assert got == {i: sum(s - 40 <= t for t in secs[:i]) for i, s in enumerate(secs)}
+    assert len(sizes) >= 4 and max(sizes) <= 9
+
+
 def test_other_presenters_in_order_of_appearance(spark):
     df = spark.createDataFrame([(i, "h", f"u{i % 6}") for i in range(8)],
                                "seq long, document_hash string, claimed_user_ref string")
