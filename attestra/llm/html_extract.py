@@ -234,12 +234,12 @@ def extract(pages: list[str | None], model: boosting.Trees) -> list[str]:
 def main_text(pages: DataFrame, html: str = "html", carry: list[str] | None = None,
               model: boosting.Trees | None = None) -> DataFrame:
     """Every page row (carried columns as struct ``doc``) with its main ``text``."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())
+    shared = pages.sparkSession.sparkContext.broadcast(tuple(model or train()))
 
     def answer(texts):
-        out = []
+        out, trees = [], boosting.Trees(*shared.value)
         for i in range(0, len(texts), 64):
-            out += extract(texts[i:i + 64], shared.value)
+            out += extract(texts[i:i + 64], trees)
         return [(t,) for t in out]
 
     return per_text(pages, html, carry or ["page_id", "url"], answer, "text string")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestra.llm.common import per_text
 
@@ -138,6 +138,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                            F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("r")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = dict(rows.groupBy("lang").count().collect())
+    if not sizes:
+        return build_filter({}, bits, hashes, orders)
     letters = labelled.sparkSession.sparkContext.broadcast(letter_table())
 
     def grams_of(batches):
@@ -158,20 +160,27 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 pa.array([*(k[1] for k in found), *([None] * len(texts))], pa.int64()),
                 pa.array([*found.values(), *texts.values()], pa.int64())], names=["lang", "gram", "n"])
 
-    grams: dict[str, np.ndarray] = {}
-    shares: dict[str, np.ndarray] = {}
+    # Hash order: the same documents whatever the partitions. A threshold keeps each language's sort small; the
+    # list of thresholds has one row a language, and all languages are counted in the same job.
+    limits = []
     for name, size in sorted(sizes.items()):
-        # Hash order: the same documents whatever the partitions; a threshold keeps the sort small.
         share = min(1.0, 1.5 * documents_per_language / size)
-        low = min(2 ** 63 - 1, -(2 ** 63) + int(share * 2 ** 64))
-        sample = rows.filter((F.col("lang") == name) & (F.col("r") <= low)).orderBy("r").limit(documents_per_language)
-        counts = (sample.select("lang", "text").repartition(8).mapInArrow(grams_of, "lang string, gram long, n long")
-                  .groupBy("gram").agg(F.sum("n").alias("n")))
-        texts = min(documents_per_language, size)
-        top = (counts.filter(F.col("gram").isNotNull() & (F.col("n") >= max(1, min_share * texts)))
-               .orderBy(F.desc("n"), "gram").limit(grams_per_language).toPandas())
-        grams[name] = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-        shares[name] = top["n"].to_numpy(dtype=float) / texts
+        limits.append((name, min(2 ** 63 - 1, -(2 ** 63) + int(share * 2 ** 64)), min(documents_per_language, size)))
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, low long, texts long"))
+    sample = (rows.join(limits, "lang").filter(F.col("r") <= F.col("low"))
+              .withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy("r")))
+              .filter(F.col("_k") <= documents_per_language))
+    counts = (sample.select("lang", "text").repartition(8 * len(sizes)).mapInArrow(grams_of, "lang string, gram long, n long")
+              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    top = (counts.join(limits, "lang").filter(F.col("gram").isNotNull() & (F.col("n") >= F.greatest(F.lit(1.0), min_share * F.col("texts"))))
+           .withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+           .filter(F.col("_k") <= grams_per_language).select("lang", "gram", "n", "texts").toPandas())
+    grams = {name: np.empty(0, np.uint64) for name in sizes}
+    shares = {name: np.empty(0) for name in sizes}
+    for name, part in top.groupby("lang"):
+        part = part.sort_values(["n", "gram"], ascending=[False, True])
+        grams[name] = part["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+        shares[name] = part["n"].to_numpy(dtype=float) / part["texts"].to_numpy(dtype=float)
     if grams:                                   # quotations carry n-grams of one language into another's texts
         known, at = np.unique(np.concatenate([grams[n] for n in grams]), return_inverse=True)
         most = np.zeros(len(known))
@@ -183,10 +192,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row (carried columns as struct ``doc``) with ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))         # plain data: workers need no copy of this package
 
     def answer(texts):
-        f = shared.value
+        f = LanguageFilter(*shared.value)
         return [decide(t, f) for t in texts]
 
     return per_text(docs, text, carry or ["doc_id"], answer, "lang_pred string, score double")
