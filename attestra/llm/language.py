@@ -175,8 +175,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     top = (counts.join(limits, "lang").filter(F.col("gram").isNotNull() & (F.col("n") >= F.greatest(F.lit(1.0), min_share * F.col("texts"))))
            .withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")))
            .filter(F.col("_k") <= grams_per_language).select("lang", "gram", "n", "texts").toPandas())
-    grams = {name: np.empty(0, np.uint64) for name in sizes}
-    shares = {name: np.empty(0) for name in sizes}
+    grams = {name: np.empty(0, np.uint64) for name in sorted(sizes)}
+    shares = {name: np.empty(0) for name in sorted(sizes)}
     for name, part in top.groupby("lang"):
         part = part.sort_values(["n", "gram"], ascending=[False, True])
         grams[name] = part["gram"].to_numpy(dtype=np.int64).view(np.uint64)
